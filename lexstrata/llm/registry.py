@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minmax, warc
+from . import decontaminate, langid, lm_scoring, minmax, quality, warc
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,8 +32,16 @@ def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op4_decontaminate, op6_warc, op7_minmax)
+    found = (op1_quality, op4_decontaminate, op6_warc, op7_minmax, op9_lm_scoring, op10_langid)
     return {f.__name__: f for f in found}
 
 
