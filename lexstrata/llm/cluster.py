@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +47,29 @@ def text_rows(docs: DataFrame, *columns: str, batch_rows: int = 512) -> DataFram
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of exactly these names, whatever else ``df`` holds (names that differ in case, repeated extra names)."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place: no name of theirs can clash with one that an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def filtered(docs: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray], *, batch_rows: int = 512) -> DataFrame:
+    """The rows of ``docs`` for which ``decide`` gives True, with all their columns; ``decide`` sees columns named by place."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    rows = numbered(docs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch)))
+
+    return rows.mapInArrow(work, rows.schema).toDF(*docs.columns)
+
+
 def add_columns(schema: T.StructType, **extra: str) -> T.StructType:
     """``schema`` and further columns, given by DDL type."""
     fields = list(schema.fields)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as bt
-from .cluster import text_rows
+from .cluster import numbered, picked, text_rows
 
 WINDOW = 10
 #: Words of items in one automaton; a larger set of items is dealt over several, entered one after another.
@@ -203,6 +203,7 @@ def _scan_chunk(chunk: bt.Chunk, indexes: list[Broadcast]) -> tuple[np.ndarray,
 
 def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: words, hit words, matching items, longest match and the hit spans in bytes."""
+    docs, items = picked(docs, id_column, text_column), picked(items, "item_id", "text")
     indexes = build_indexes(items, window)
     item_type = items.schema["item_id"].dataType
     rows = text_rows(docs, id_column, text_column)
@@ -255,14 +256,14 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_covera
 
     All columns of ``docs`` stay; ``n_chars``, where there is one, follows the new text.
     """
-    indexes = build_indexes(items, window)
-    rows = text_rows(docs, *docs.columns)
+    indexes = build_indexes(picked(items, "item_id", "text"), window)
+    rows = text_rows(numbered(docs), *[f"c{i}" for i in range(len(docs.columns))])
     place = docs.columns.index(text_column)
     has_length = "n_chars" in docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bt.string_column(batch, text_column)
+            texts = bt.string_column(batch, f"c{place}")
             keep = np.ones(batch.num_rows, bool)
             new: dict[int, str] = {}
             for chunk in bt.chunks(texts):
@@ -292,7 +293,7 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_covera
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
 
     docs_length = docs.columns.index("n_chars") if has_length else -1
-    return rows.mapInArrow(work, docs.schema)
+    return rows.mapInArrow(work, rows.schema).toDF(*docs.columns)
 
 
 def digest(ids: list[str]) -> str:

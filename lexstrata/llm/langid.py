@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .cluster import add_columns, crc_mod, text_rows
+from .cluster import add_columns, crc_mod, filtered, picked, text_rows
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -196,13 +196,20 @@ def learn(rows: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, *, fold: int = 3, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ``keep`` columns, held_out, lang_pred, score) for every row of ``docs``."""
-    held_out = F.coalesce(crc_mod(id_column, fold) == 1, F.lit(True))
-    columns = [id_column, *keep]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], held_out.alias("held_out"), F.col(text_column).alias("_text"))
-    train = docs.where(~held_out & F.col(lang_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(learn(text_rows(train, "id", "text", "lang")))
+def held_out(fold: int = 3):
+    return F.coalesce(crc_mod("doc_id", fold) == 1, F.lit(True))
+
+
+def training_rows(docs: DataFrame, fold: int = 3) -> DataFrame:
+    """(id, text, lang) of the rows that may be learned from."""
+    return text_rows(docs.where(~held_out(fold) & F.col("lang").isNotNull()).withColumnRenamed("doc_id", "id"), "id", "text", "lang")
+
+
+def identify(docs: DataFrame, *, fold: int = 3) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang)."""
+    docs = picked(docs, "doc_id", "text", "lang")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(training_rows(docs, fold)))
+    rows = docs.select("doc_id", held_out(fold).alias("held_out"), F.col("text").alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -214,16 +221,25 @@ def identify(docs: DataFrame, *, fold: int = 3, id_column: str = "doc_id", text_
                 scores.append(score)
             if names:
                 extra = [pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(scores))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*columns, "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    schema = add_columns(docs.select(*[F.col(f"`{c}`") for c in columns]).schema, held_out="boolean", lang_pred="string", score="double")
-    return text_rows(rows, *columns, "held_out", "_text").mapInArrow(work, schema)
+    schema = add_columns(docs.select("doc_id").schema, held_out="boolean", lang_pred="string", score="double")
+    return text_rows(rows, "doc_id", "held_out", "_text").mapInArrow(work, schema)
 
 
 def keep_known(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
     """``docs`` without the documents of no known language or of a score below ``least``."""
-    out = identify(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(training_rows(picked(docs, "doc_id", "text", "lang"))))
+    text = f"c{docs.columns.index('text')}"
+
+    def decide(batch: pa.RecordBatch) -> np.ndarray:
+        keep = np.zeros(batch.num_rows, bool)
+        for chunk in bt.chunks(bt.string_column(batch, text)):
+            names, scores = shared.value.predict(chunk)
+            keep[chunk.first : chunk.first + chunk.rows] = (names != UNKNOWN) & (scores >= least)
+        return keep
+
+    return filtered(docs, decide)
 
 
 def report(docs: DataFrame) -> DataFrame:

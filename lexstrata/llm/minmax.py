@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .cluster import stored, text_rows
+from .cluster import numbered, picked, stored, text_rows
 from .graph import components
 
 #: Row numbers within a chunk take so many bits; shingle hashes keep the rest.
@@ -154,6 +154,7 @@ def _verify_block(percent: int):
 
 def clusters(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutations: int = 48, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: sets with a similarity of at least ``percent`` / 100 are linked."""
+    docs = picked(docs, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
     sig = stored(signatures(docs, shingle=shingle, permutations=permutations, id_column=id_column, text_column=text_column), "signatures")
     nodes = sig.where("n > 0 AND id IS NOT NULL")
@@ -189,8 +190,9 @@ def clusters(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutatio
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id."""
-    gone = clusters(docs, id_column=id_column, **settings).where("NOT kept").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("gone_id"), "left_anti")
+    gone = clusters(docs, id_column=id_column, **settings).where("NOT kept").select(F.col("id").alias("gone")).distinct()
+    rows = numbered(docs)
+    return rows.join(gone, F.col(f"c{docs.columns.index(id_column)}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm_scoring, minmax, quality, warc
+from . import decontaminate, langid, licenses, lm_scoring, minmax, pieces, quality, token_rollup, vectors, warc
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -32,6 +44,10 @@ def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.report(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -41,7 +57,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_quality, op4_decontaminate, op6_warc, op7_minmax, op9_lm_scoring, op10_langid)
+    found = (op1_quality, op2_sentencepiece, op3_vectors, op4_decontaminate, op5_token_counts, op6_warc, op7_minmax, op8_licenses, op9_lm_scoring, op10_langid)
     return {f.__name__: f for f in found}
 
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import fresh_path, stored, text_rows
+from .cluster import fresh_path, picked, stored, text_rows
 
 # Fixed values of the formats: Zstandard's skippable and data frame magics, and WARC's revisit profile.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -189,6 +189,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     The first page of each group of equal payloads is found by a partial aggregation on SHA-256; only
     groups of two or more are joined back, narrow on one side, so that a hot payload can be split.
     """
+    pages = picked(pages, id_column, url_column, html_column)
     body = F.coalesce(F.col(html_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).alias("page"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), body.alias("body")).withColumn("key", F.sha2("body", 256))
     groups = rows.where(F.octet_length("body") >= min_revisit_bytes).groupBy("key").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
