@@ -244,4 +244,4 @@ def round_trip(spark: SparkSession, pages: DataFrame, *, min_revisit_bytes: int
     manifest = write_archives(pages, fresh_path(spark, "warc"), min_revisit_bytes=min_revisit_bytes)
     kind = pages.schema["page_id"].dataType.simpleString()
     page = lambda c: F.when(F.col(c) != EMPTY, F.substring_index(c, ":", -1)).cast(kind)
-    return read_archives(manifest, payloads=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "uri", "error")
+    return read_archives(manifest, payloads=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "error")
