@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import corpus, models, text_search  # noqa: F401 - they register their queries
+from .plans.registered import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def edges(triples: DataFrame) -> DataFrame:
     """N-1, W7: one row for each (subject, object), with the smallest source as its witness."""
@@ -17,19 +19,20 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select(F.col("subject").alias("node")).union(edge_rows.select(F.col("object").alias("node"))).distinct()
 
 
-def reachable(edge_rows: DataFrame, *, max_hops: int = 8, starts: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+def reachable(edge_rows: DataFrame, *, max_hops: int = 8, starts: DataFrame | None = None) -> DataFrame:
     """N-2: (start, node, hops, path) of the shortest way to each node; of equally short ones the smallest path.
 
-    Breadth first: each round joins only the newest nodes with the edges and keeps what wasn't reached yet.
+    Breadth first: each round joins only the newest nodes with the edges, keeps what wasn't reached yet,
+    and writes that to shared storage, so plans don't grow from round to round.
     """
     first = (starts or nodes(edge_rows)).select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"))
-    seen = frontier = first
+    seen = frontier = stored(first, "reached")
     step = edge_rows.select(F.col("subject").alias("node"), F.col("object").alias("next"))
     for hops in range(1, max_hops + 1):
         grown = frontier.join(step, "node").groupBy("start", F.col("next").alias("node")).agg(F.min("path").alias("before"))
         fresh = grown.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = fresh.select("start", "node", F.lit(hops).alias("hops"), F.concat("before", F.array("node")).alias("path")).checkpoint() if folder else fresh.select("start", "node", F.lit(hops).alias("hops"), F.concat("before", F.array("node")).alias("path"))
-        if folder and frontier.isEmpty():
+        frontier = stored(fresh.select("start", "node", F.lit(hops).alias("hops"), F.concat("before", F.array("node")).alias("path")), "reached")
+        if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -54,7 +57,7 @@ def parent_chains(messages: DataFrame, *, most: int = 64) -> DataFrame:
     for _ in range(most):
         step = open_.join(up, F.col("next") == F.col("at"), "left")
         fine = F.col("ok") & F.col("at").isNotNull() & (F.col("at_tree") == F.col("message_tree_id")) & (F.col("at_role") != F.element_at("roles", -1)) & ~F.array_contains("seen", F.col("next"))
-        moved = step.select("message_id", "message_tree_id", F.when(fine, F.col("above")).alias("next"), F.concat("roles", F.array("at_role")).alias("roles"), F.concat("seen", F.array("next")).alias("seen"), F.coalesce(fine, F.lit(False)).alias("ok"))
+        moved = stored(step.select("message_id", "message_tree_id", F.when(fine, F.col("above")).alias("next"), F.concat("roles", F.array("at_role")).alias("roles"), F.concat("seen", F.array("next")).alias("seen"), F.coalesce(fine, F.lit(False)).alias("ok")), "chains")
         done = done.unionByName(moved.where("next IS NULL"))
         open_ = moved.where("next IS NOT NULL")
         if open_.isEmpty():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import stored
 
 BOS, EOS = "<BOS>", "<EOS>"
 
@@ -85,14 +86,15 @@ def decode_beam(prompts: DataFrame, counts: DataFrame, *, width: int = 4, steps:
     The working set of a prompt are the transitions that its words reach within ``steps``: it is found by
     joins, step by step, with at most ``width`` candidates for each prefix.
     """
-    top = top_transitions(probabilities(counts.where(F.col("depth") == order)), width).select("prefix", "target", F.log("p").alias("logp"))
+    top = stored(top_transitions(probabilities(counts.where(F.col("depth") == order)), width).select("prefix", "target", F.log("p").alias("logp")), "top-transitions")
     tail = lambda c: F.concat_ws(" ", F.slice(F.split(c, " "), -order, order))
     padded = F.concat_ws(" ", F.concat(F.array_repeat(F.lit(BOS), order), X.compiler_tokens(F.col("text"))))
     beams = prompts.select("prompt_id", tail(padded).alias("prefix"), F.lit("").alias("out"), F.lit(0.0).alias("score"), F.lit(False).alias("done"))
     best = Window.partitionBy("prompt_id").orderBy(F.desc(F.bround("score", 12)), "out")
     for _ in range(steps):
         grown = beams.where("NOT done").join(top, "prefix").select("prompt_id", tail(F.concat_ws(" ", "prefix", "target")).alias("prefix"), F.when(F.col("target") == EOS, F.col("out")).otherwise(F.ltrim(F.concat_ws(" ", "out", "target"))).alias("out"), (F.col("score") + F.col("logp")).alias("score"), (F.col("target") == EOS).alias("done"))
-        beams = grown.unionByName(beams.where("done")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width).drop("rank")
+        kept = grown.unionByName(beams.where("done")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width).drop("rank")
+        beams = stored(kept, "beams")
     final = Window.partitionBy("prompt_id").orderBy(F.desc("done"), F.desc(F.bround("score", 12)), "out")
     return beams.withColumn("rank", F.row_number().over(final)).where("rank = 1").select("prompt_id", F.col("out").alias("text"), "score", "done")
 

@@ -19,7 +19,7 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _marked(lang: str) -> str:
-    return f"len(list_filter({WORD_LIST.format('text')}, w -> replace(lower(w), 'ß', 'ss') IN ({quoted(E.MARKERS[lang])})))"
+    return f"len(list_filter({WORD_LIST.format('text')}, lambda w: replace(lower(w), 'ß', 'ss') IN ({quoted(E.MARKERS[lang])})))"
 
 
 PLAUSIBLE = "(" + N_WORDS + " > 0 AND coalesce(CASE lang " + " ".join(f"WHEN '{x}' THEN {_marked(x)} >= CASE WHEN {N_WORDS} < 15 THEN 1 ELSE 2 END" for x in E.MARKERS) + " END, false))"
@@ -72,7 +72,7 @@ def language_heuristic(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).groupBy("lang").agg(F.count_if(E.plausible_language(F.col("text"), F.col("lang"))).alias("plausible"), F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, NOT regexp_matches(text, '(?m)^\s*([-*•#]|\d+[.)])\s') AND len(list_filter(string_split(text, chr(10)), x -> trim(x) <> '' AND NOT regexp_matches(trim(x), '[.!?]["'')]?$'))) = 0 AS prose FROM documents""")
+@query(r"""SELECT doc_id, NOT regexp_matches(text, '(?m)^\s*([-*•#]|\d+[.)])\s') AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '[.!?]["'')]?$'))) = 0 AS prose FROM documents""")
 def plain_prose(spark: SparkSession, folder: str) -> DataFrame:
     """F15."""
     return docs(spark, folder).select("doc_id", E.plain_prose(F.col("text")).alias("prose"))

@@ -25,7 +25,8 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """IO2: a list of documents, or an object that holds one under ``documents``."""
     whole = spark.read.text(path, wholetext=True)
     kind = f"array<struct<{schema}>>"
-    listed = F.coalesce(F.from_json("value", kind), F.from_json("value", f"struct<documents:{kind}>")["documents"])
+    wrapped = F.from_json("value", f"struct<documents:{kind}>")["documents"]
+    listed = F.when(F.ltrim("value").startswith("{"), wrapped).otherwise(F.from_json("value", kind))
     return whole.select(F.inline(listed))
 
 
