@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 BASE_HZ = 30.0
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, not once for each element that a function visits."""
+    return F.transform(F.array(value), use)[0]
+
+
 def byte_values(text: Column) -> Column:
     """UTF-8 bytes scaled to -1..1; an empty text is one zero byte."""
     raw = F.regexp_extract_all(F.hex(F.encode(F.when(text == "", "\0").otherwise(text), "UTF-8")), F.lit(".."), F.lit(0))
@@ -37,18 +42,20 @@ def decoded(packets: DataFrame) -> DataFrame:
 
     back = DCT(inverse=True, inputCol="_c", outputCol="_v").transform(packets.withColumn("_c", array_to_vector("coefficients")))
     values = F.transform(vector_to_array("_v"), lambda x: F.round(x * 127.5 + 127.5).cast("int"))
-    out = back.withColumn("_b", values).drop("_c", "_v")
-    raw = F.unhex(F.concat_ws("", F.transform("_b", lambda b: F.lpad(F.hex(b.cast("long")), 2, "0"))))
-    ok = F.forall("_b", lambda b: b.between(0, 255)) & (F.size("_b") == F.greatest("byte_length", F.lit(1)))
-    text = F.when(F.col("byte_length") == 0, "").when(ok, F.decode(raw, "UTF-8"))
-    return out.withColumn("decoded", text).withColumn("valid", F.coalesce(ok & (F.sha2(F.col("decoded"), 256) == F.col("sha256")), F.lit(False))).drop("_b")
+
+    def read(b: Column) -> Column:
+        raw = F.unhex(F.array_join(F.transform(b, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+        ok = F.forall(b, lambda x: x.between(0, 255)) & (F.size(b) == F.greatest("byte_length", F.lit(1)))
+        return F.when(F.col("byte_length") == 0, "").when(ok, F.decode(raw, "UTF-8"))
+
+    out = back.withColumn("decoded", bound(values, read)).drop("_c", "_v")
+    return out.withColumn("valid", F.coalesce(F.sha2(F.col("decoded"), 256) == F.col("sha256"), F.lit(False)))
 
 
 def physical_energy(coefficient_array: Column) -> Column:
     """Half the sum of (2 pi 30 k / N)^2 a_k^2."""
-    n = F.size(coefficient_array)
-    terms = F.transform(coefficient_array, lambda a, k: F.pow(F.lit(2 * math.pi * BASE_HZ) * k / n, 2) * a * a)
-    return 0.5 * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    terms = lambda c: F.transform(c, lambda a, k: F.pow(F.lit(2 * math.pi * BASE_HZ) * k / F.size(c), 2) * a * a)
+    return 0.5 * F.aggregate(bound(coefficient_array, terms), F.lit(0.0), lambda s, x: s + x)
 
 
 def phase(k: Column, n: Column, seconds: float) -> Column:
@@ -59,22 +66,21 @@ def phase(k: Column, n: Column, seconds: float) -> Column:
 
 def quadratures(coefficient_array: Column, seconds: float) -> Column:
     """M4: (q, p) of each mode at a time."""
-    n = F.size(coefficient_array)
-    return F.transform(coefficient_array, lambda a, k: F.struct((a * F.cos(phase(k, n, seconds))).alias("q"), (a * F.sin(phase(k, n, seconds))).alias("p")))
+    turned = lambda a, k, n: F.struct((a * F.cos(phase(k, n, seconds))).alias("q"), (a * F.sin(phase(k, n, seconds))).alias("p"))
+    return bound(coefficient_array, lambda c: F.transform(c, lambda a, k: turned(a, k, F.size(c))))
 
 
 def recovered(quadrature_array: Column, seconds: float) -> Column:
     """M4: the coefficients again."""
-    n = F.size(quadrature_array)
-    return F.transform(quadrature_array, lambda s, k: s["q"] * F.cos(phase(k, n, seconds)) + s["p"] * F.sin(phase(k, n, seconds)))
+    back = lambda s, k, n: s["q"] * F.cos(phase(k, n, seconds)) + s["p"] * F.sin(phase(k, n, seconds))
+    return bound(quadrature_array, lambda c: F.transform(c, lambda s, k: back(s, k, F.size(c))))
 
 
 def displacement(coefficient_array: Column, place: Column, seconds: float) -> Column:
     """M7: the inverse DCT at one byte place, with every mode turned by its phase."""
-    n = F.size(coefficient_array)
-    scale = lambda k: F.when(k == 0, F.sqrt(1 / n)).otherwise(F.sqrt(2 / n))
-    terms = F.transform(coefficient_array, lambda a, k: a * scale(k) * F.cos(F.lit(math.pi) * (2 * place + 1) * k / (2 * n)) * F.cos(phase(k, n, seconds)))
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    scale = lambda k, n: F.when(k == 0, F.sqrt(1 / n)).otherwise(F.sqrt(2 / n))
+    term = lambda a, k, n: a * scale(k, n) * F.cos(F.lit(math.pi) * (2 * place + 1) * k / (2 * n)) * F.cos(phase(k, n, seconds))
+    return F.aggregate(bound(coefficient_array, lambda c: F.transform(c, lambda a, k: term(a, k, F.size(c)))), F.lit(0.0), lambda s, x: s + x)
 
 
 def offsets(docs: DataFrame, *, order: str = "doc_id", block: int = 10_000) -> DataFrame:

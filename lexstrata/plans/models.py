@@ -237,19 +237,19 @@ def field_resonance(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def conversation_state(spark: SparkSession, folder: str) -> DataFrame:
     """ST4: state of each conversation from a stream."""
-    path = f"{folder}/conversations.parquet"
-    return feeds.session_state(spark, path, spark.read.parquet(path).schema)
+    turns = table(spark, folder, "conversations")
+    return feeds.session_state(spark, feeds.landed(turns), turns.schema)
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def change_stream(spark: SparkSession, folder: str) -> DataFrame:
     """ST1-ST3: the events taken up by a stream."""
-    path = f"{folder}/events.parquet"
-    return feeds.replay(spark, path, spark.read.parquet(path).schema, key=["event_id"]).select("event_id", "user_id", "event_type", "value")
+    events = table(spark, folder, "events")
+    return feeds.replay(spark, feeds.landed(events), events.schema, key=["event_id"]).select("event_id", "user_id", "event_type", "value")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     """An addition: tumbling windows over the events with a watermark."""
-    path = f"{folder}/events.parquet"
-    return feeds.event_windows(spark, path, spark.read.parquet(path).schema, late="3650 days")
+    events = table(spark, folder, "events")
+    return feeds.event_windows(spark, feeds.landed(events), events.schema, late="3650 days")

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from ..sources.shared import fresh_path
 
 
+def landed(df: DataFrame, files: int = 4) -> str:
+    """A folder of the shared storage with ``df`` in a few files, for a file stream to read in batches."""
+    path = fresh_path(df.sparkSession, "landed")
+    df.repartition(files).write.parquet(path)
+    return path
+
+
 def append_stream(stream: DataFrame, table: str, checkpoint: str, *, key: list[str]) -> None:
     """ST2, ST3, ST6: takes up all available changes; a batch that was written before is replaced, rows that the table has are skipped."""
 
@@ -64,7 +71,7 @@ def session_state(spark: SparkSession, source: str, schema) -> DataFrame:
 
 def event_windows(spark: SparkSession, source: str, schema, *, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums of events in tumbling windows with a watermark (an addition; the store has no event time)."""
-    stream = spark.readStream.schema(schema).parquet(source).withWatermark("ts", late)
+    stream = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counted = stream.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     table = fresh_path(spark, "windows")
 
@@ -73,4 +80,4 @@ def event_windows(spark: SparkSession, source: str, schema, *, width: str = "1 h
 
     counted.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", fresh_path(spark, "windows-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     newest = spark.read.parquet(f"{table}/*")
-    return newest.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return newest.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
