@@ -90,7 +90,7 @@ class ArchiveWriter:
     def _open(self) -> None:
         self.name, self.raw, self.count = f"pages-{uuid.uuid4().hex}.warc.zst", 0, 0
         self.fs.create_dir(self.base, recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.base}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.base}/{self.name}", compression=None)
         if self.dictionary:
             packed = zstandard.ZstdCompressor(level=9).compress(self.dictionary)
             self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(packed)) + packed)
@@ -227,7 +227,7 @@ def read_archives(paths: DataFrame, *, payloads: bool = True, tasks: int | None
             for path in batch.column(0).to_pylist():
                 fs, place = pafs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with fs.open_input_stream(place) as stream:
+                with fs.open_input_stream(place, compression=None) as stream:
                     for raw in _frames(stream):
                         rows.append(parse_record(raw))
                         held += len(raw) if payloads else 500

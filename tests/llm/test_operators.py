@@ -434,7 +434,7 @@ def brute_phrases(text):
 
 def test_licenses(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
-    docs = [*EDGE, (20, gpl), (21, "text. Released under the MIT License. CC BY cc-by"), (22, "This work is licensed very much under the GNU General Public License, version 3"), (23, "All rights  reserved. ALL RIGHTS RESERVED"), (24, ("filler words here " * 9000) + "Licensed under the Apache License, Version 2.0."), (25, "this work is licensed under nothing"), (26, (gpl + " ") * 300)]
+    docs = [*EDGE, (20, gpl), (21, "text. Released under the MIT License. CC BY cc-by"), (22, "Permission is hereby granted, free of charge, to any person also obtaining a copy of this software and associated documentation files"), (23, "All rights  reserved. ALL RIGHTS RESERVED"), (24, ("filler words here " * 9000) + "Licensed under the Apache License, Version 2.0."), (25, "this work is licensed under nothing"), (26, (gpl + " ") * 300)]
     got = licenses.report(with_clashes(documents(spark, docs))).collect()
     assert len(got) == len(docs)
     want = {i: brute_phrases(t) for i, t in docs}
@@ -442,7 +442,7 @@ def test_licenses(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == want[r["doc_id"]]
         assert 0 <= r["score"] <= 1
     labels = {r["doc_id"]: r["labels"] for r in got}
-    assert labels[20] == labels[26] == "gpl,gpl-3.0" and labels[21] == "cc-by,mit" and labels[23] == "reserved" and labels[24] == "apache-2.0" and labels[25] == "" and "gpl-3.0" in labels[22]
+    assert labels[20] == labels[26] == "gpl,gpl-3.0" and labels[21] == "cc-by,mit" and labels[23] == "reserved" and labels[24] == "apache-2.0" and labels[25] == "" and labels[22] == "mit"
 
 
 def test_rollup_is_exact_and_idempotent(spark):
