@@ -32,6 +32,8 @@ from .graph import components
 COSINE = 0.93
 #: Vectors that a cell should hold and may hold; overlap; pivots of all cells together; levels.
 CELL_AIM, CELL_MOST, OVERLAP, PIVOTS, LEVELS = 256, 1024, 3, 4096, 6
+#: A cell is divided only if no pivot would draw more than this share of it.
+LARGEST_SHARE = 0.5
 #: Two pivots of a cell are no nearer than this cosine, so near copies never draw two.
 PIVOT_COSINE = 0.5
 AUDIT_QUERIES = 128
@@ -160,7 +162,10 @@ def _pivots(rows: DataFrame, sizes: list, level: int) -> dict[int, np.ndarray]:
             if len(chosen) < want[cell][0] and (not chosen or (np.stack(chosen) @ x).max() < PIVOT_COSINE):
                 chosen.append(x)
         if len(chosen) > 1:
-            out[int(cell)] = np.stack(chosen)
+            p = np.stack(chosen)
+            nearest = np.bincount((vectors @ p.T).argmax(1), minlength=len(p))
+            if nearest.max() <= LARGEST_SHARE * len(vectors):  # else dividing would only repeat one tight group in several cells
+                out[int(cell)] = p
     return out
 
 
