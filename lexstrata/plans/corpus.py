@@ -202,7 +202,7 @@ def store_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return one("documents", "documents").join(one("labels", "provenance")).join(one("conversations", "turns")).join(one("events", "changes"))
 
 
-@query("""SELECT lang, quality, count(*) AS cases, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS correct, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, median(n_chars) AS median_chars FROM labels JOIN documents USING (doc_id) GROUP BY lang, quality""")
+@query("""SELECT lang, quality, count(*) AS cases, CAST(sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS correct, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, median(n_chars) AS median_chars FROM labels JOIN documents USING (doc_id) GROUP BY lang, quality""")
 def retrieval_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, accuracy and median by group."""
     rows = table(spark, folder, "labels").join(docs(spark, folder).select("doc_id", "lang", "n_chars"), "doc_id")

@@ -89,7 +89,7 @@ def content_terms(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", F.size(X.content_terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
-@query(f"""SELECT gram, sum(times) AS times FROM (
+@query(f"""SELECT gram, CAST(sum(times) AS BIGINT) AS times FROM (
 SELECT unnest(list_concat(list_transform(range(1, greatest(length(f) - 1, 1)), lambda i: substr(f, i, 3)), list_transform(range(1, greatest(length(f) - 2, 1)), lambda i: substr(f, i, 4)))) AS gram, times
 FROM (SELECT '^' || term || '$' AS f, count(*) AS times FROM ({KEPT}) GROUP BY term)) GROUP BY gram""")
 def char_ngrams(spark: SparkSession, folder: str) -> DataFrame:
