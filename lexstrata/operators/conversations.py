@@ -34,8 +34,8 @@ def carried(turns: DataFrame, marker: Column) -> DataFrame:
 
 def repeated_trigrams(turns: DataFrame, least: int = 3) -> DataFrame:
     """Three-word runs that one turn repeats ``least`` times or more."""
-    words = turns.select("conv_id", "turn", X.all_words(X.folded(F.col("text"))).alias("w")).where(F.size("w") >= 3)
-    runs = words.select("conv_id", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))).alias("trigram"))
+    cut = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3))))
+    runs = turns.select("conv_id", "turn", F.explode(X.bound(X.all_words(X.folded(F.col("text"))), cut)).alias("trigram"))
     return runs.groupBy("conv_id", "turn", "trigram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

@@ -25,8 +25,9 @@ def transitions(docs: DataFrame, *, order: int = 2) -> DataFrame:
     within tasks before anything is shuffled.
     """
     padded = F.concat(F.array_repeat(F.lit(BOS), order), F.col("tokens"))
-    at = lambda depth: F.transform(F.sequence(F.lit(order + 1), F.size(padded)), lambda i: F.struct(F.lit(depth).alias("depth"), F.concat_ws(" ", F.slice(padded, i - depth, depth)).alias("prefix"), F.element_at(padded, i).alias("target")))
-    rows = sequences(docs).select(F.inline(F.concat(*[at(d) for d in range(order + 1)])))
+    one = lambda p, i, depth: F.struct(F.lit(depth).alias("depth"), F.concat_ws(" ", F.slice(p, i - depth, depth)).alias("prefix"), F.element_at(p, i).alias("target"))
+    at = lambda p: F.flatten(F.transform(F.sequence(F.lit(order + 1), F.size(p)), lambda i: F.array(*[one(p, i, d) for d in range(order + 1)])))
+    rows = sequences(docs).select(F.inline(X.bound(padded, at)))
     return rows.groupBy("depth", "prefix", "target").agg(F.count("*").alias("n"))
 
 
@@ -53,9 +54,10 @@ def surface_mode(docs: DataFrame) -> DataFrame:
 
 def context_form(docs: DataFrame) -> DataFrame:
     """The most common spelling of each token after the two before it; ties by spelling."""
-    form = lambda i: X.folded(F.element_at("w", i))
-    each = lambda i: F.struct(form(i - 2).alias("a"), form(i - 1).alias("b"), form(i).alias("token"), F.element_at("w", i).alias("form"))
-    rows = docs.select(X.all_words(F.col("text")).alias("w")).where(F.size("w") >= 3).select(F.inline(F.transform(F.sequence(F.lit(3), F.size("w")), each)))
+    form = lambda w, i: X.folded(F.element_at(w, i))
+    each = lambda w, i: F.struct(form(w, i - 2).alias("a"), form(w, i - 1).alias("b"), form(w, i).alias("token"), F.element_at(w, i).alias("form"))
+    runs = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(3), F.size(w)), lambda i: each(w, i)))
+    rows = docs.select(F.inline(X.bound(X.all_words(F.col("text")), runs)))
     seen = rows.groupBy("a", "b", "token", "form").agg(F.count("*").alias("n"))
     best = Window.partitionBy("a", "b", "token").orderBy(F.desc("n"), "form")
     return seen.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
