@@ -21,14 +21,20 @@ def sequences(docs: DataFrame) -> DataFrame:
 def transitions(docs: DataFrame, *, order: int = 2) -> DataFrame:
     """(depth, prefix, target, n) for every prefix of up to ``order`` tokens, padded at the start.
 
-    The key holds prefix and target together, so the empty prefix, which has all tokens, is counted
-    within tasks before anything is shuffled.
+    Only the full n-grams are counted over the texts, within tasks first; shorter prefixes are summed up
+    from those counts, level by level, so the empty prefix gathers no rows.
     """
-    padded = F.concat(F.array_repeat(F.lit(BOS), order), F.col("tokens"))
-    one = lambda p, i, depth: F.struct(F.lit(depth).alias("depth"), F.concat_ws(" ", F.slice(p, i - depth, depth)).alias("prefix"), F.element_at(p, i).alias("target"))
-    at = lambda p: F.flatten(F.transform(F.sequence(F.lit(order + 1), F.size(p)), lambda i: F.array(*[one(p, i, d) for d in range(order + 1)])))
-    rows = sequences(docs).select(F.inline(X.bound(padded, at)))
-    return rows.groupBy("depth", "prefix", "target").agg(F.count("*").alias("n"))
+    names = [f"w{i}" for i in range(order + 1)]
+    padded = sequences(docs).select(F.concat(F.array_repeat(F.lit(BOS), order), F.col("tokens")).alias("p"))
+    shifted = [F.slice("p", i + 1, F.size("p") - order) for i in range(order + 1)]
+    level = padded.select(F.inline(F.arrays_zip(*shifted))).toDF(*names).groupBy(*names).agg(F.count("*").alias("n"))
+    out = None
+    for depth in range(order, -1, -1):
+        if depth < order:
+            level = level.groupBy(*names[order - depth :]).agg(F.sum("n").alias("n"))
+        rows = level.select(F.lit(depth).alias("depth"), F.concat_ws(" ", *names[order - depth : order]).alias("prefix"), F.col(names[order]).alias("target"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
