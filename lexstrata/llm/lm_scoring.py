@@ -1,16 +1,19 @@
 """Language-model scores from a weighted backoff automaton learned from the corpus itself.
 
-Unigram counts cover every token of all training texts. Frequent words become contexts, and the
-n-grams among them are counted over all training texts level by level (an n-gram is counted only
-where its shorter parts are kept). Smoothing is interpolated absolute discounting. Each kept
-context is a state; its arcs hold smoothed log10 probabilities, and its failure arc leads to the
-context without its first word, at the weight of the mass that is left. A traversal starts each
-text at the root, follows an arc or fails towards the root, and adds the weights.
-
-The frequent part of the vocabulary (``HEAD_WORDS`` at most) and the arcs (``ARCS`` at most a level)
-are broadcast; both bounds are parameters, and the count from which words and arcs belong to them
-follows from a histogram. All other words are looked up by a shuffle join with the full counts, so
-every count is exact at any size.
+Unigram counts cover every token of all training texts. Every word is a context, and every n-gram
+that occurs twice or more is kept. Smoothing is interpolated absolute discounting, with discounts from
+all pairs and from all longer n-grams whose shorter parts are kept. Each kept context
+is a state; its arcs hold smoothed log10 probabilities, and its failure arc leads to the context
+without its first word, at the weight of the mass that is left. A traversal starts each text at the
+root, follows an arc or fails towards the root, and adds the weights.
+
+The sum over a traversal is taken apart by n-gram: a word adds the weight of its root arc and of its
+failure arc, a longer n-gram what its arc has over failing to the shorter one, and its own failure
+arc. So a text's score is a sum of one value for each n-gram in it, and the values are a table dealt
+by hash that is joined to the n-grams of the texts by shuffle. The most frequent words
+(``HEAD_WORDS`` at most) and n-grams (``ARCS`` at most a level) are also broadcast, and so is a bitmap
+of all kept n-grams (``FILTER_BITS``): both only save rows of the join. Every count and score is
+exact at any size.
 
 Defined results: null and empty texts are the end token only; rows without id are held out; with no
 training text every probability is 1; repeated ids are scored row by row.
@@ -30,9 +33,10 @@ from . import bytetext as bt
 from .cluster import crc_mod, picked, stored, text_rows
 
 END = np.uint64(1)
+#: Sizes of the broadcast caches; no result depends on them.
 HEAD_WORDS = 1 << 19
-CONTEXT_WORDS = 1 << 13
 ARCS = 1 << 19
+FILTER_BITS = 27
 ORDER = 3
 SHIFT = 20
 #: Distinct keys that a task holds before it hands on partial counts.
@@ -70,8 +74,8 @@ class _Counts:
         return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def count_keys(rows: DataFrame, keys_of: Callable[[bt.Chunk], np.ndarray], name: str) -> DataFrame:
-    """(k, c) for the 64-bit keys that ``keys_of`` finds in all texts, counted first within each task."""
+def count_keys(rows: DataFrame, keys_of: Callable[[bt.Chunk], np.ndarray], name: str, least: int = 1) -> DataFrame:
+    """(k, c) for the 64-bit keys that ``keys_of`` finds in all texts ``least`` times, counted first within each task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
@@ -89,7 +93,7 @@ def count_keys(rows: DataFrame, keys_of: Callable[[bt.Chunk], np.ndarray], name:
         if held.parts:
             yield out(*held.merged())
 
-    return stored(rows.mapInArrow(work, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), name)
+    return stored(rows.mapInArrow(work, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least), name)
 
 
 def cut_for(counts: DataFrame, most: int, least: int = 1) -> int:
@@ -105,7 +109,7 @@ def cut_for(counts: DataFrame, most: int, least: int = 1) -> int:
 
 
 class Automaton:
-    """The states and arcs. Level n holds arcs out of contexts of n words: sorted keys, log10 weights, and failure weights by context."""
+    """The whole model in memory, for small corpora and as a reference. Level n holds arcs out of contexts of n words: sorted keys, log10 weights, and failure weights by context."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, context_cut: int):
         order = np.argsort(hashes)
@@ -186,33 +190,131 @@ class Automaton:
         return weight, head
 
 
-def learn(train: DataFrame, *, head_words: int = HEAD_WORDS, context_words: int = CONTEXT_WORDS, arcs: int = ARCS, order: int = ORDER) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, all unigram counts (k, c), the count from which a word is in the head, and the training tokens; ``train`` has column text."""
+def gram_keys(t: np.ndarray, row: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all n-grams of ``level`` words within a row, those of their contexts and of their suffixes, and where they end."""
+    if level == 1:
+        return t, t, t, np.arange(len(t))
+    key, _, _, at = gram_keys(t, row, level - 1)
+    pairs = np.flatnonzero((at[1:] == at[:-1] + 1) & (row[at[1:]] == row[at[:-1] - (level - 2)]))
+    context, suffix = key[pairs], key[pairs + 1]
+    return bt.mix(bt.mix(context + np.uint64(level)) + t[at[pairs + 1]]), context, suffix, at[pairs + 1]
+
+
+def count_grams(rows: DataFrame, level: int, parts: np.ndarray, *, whole: bool) -> DataFrame:
+    """(k, a, b, c): keys, contexts, suffixes and counts of the n-grams of ``level`` words that are in the bitmap, or (unless
+    ``whole``) whose contexts and suffixes both are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> tuple:
+            k, a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            return k[first], a[order][first], b[order][first], np.add.reduceat(c[order], first)
+
+        def out(columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["k", "a", "b", "c"])
+
+        for batch in batches:
+            for chunk in bt.chunks(bt.string_column(batch, "text")):
+                k, a, b, _ = gram_keys(*tokens(chunk), level)
+                on = marked(shared.value, k) if whole else marked(shared.value, a) & marked(shared.value, b)
+                k, first, c = np.unique(k[on], return_index=True, return_counts=True)
+                if not len(k):
+                    continue
+                held.append((k, a[on][first], b[on][first], c))
+                size += len(k)
+                if size > 2 * HELD:
+                    joined = merged()
+                    if len(joined[0]) > HELD:
+                        yield out(joined)
+                        held, size = [], 0
+                    else:
+                        held, size = [joined], len(joined[0])
+        if held:
+            yield out(merged())
+
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
+    return stored(rows.mapInArrow(work, "k long, a long, b long, c long").groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("c").alias("c")), f"grams-{level}")
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** ``bits`` places in which the places of all keys (k) are set."""
+    place = F.shiftrightunsigned("k", 64 - bits) + 1
+    found = keys.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).toArrow()
+    out = np.zeros(max(1, (1 << bits) >> 15) * 4096, np.uint8)
+    for block, part in zip(found["block"].to_pylist(), found["map"].to_pylist(), strict=True):
+        out[(block - 1) * 4096 : (block - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def marked(parts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the place of each key is set; true for all keys in the bitmap and few others."""
+    bits = max(15, (len(parts) * 8).bit_length() - 1)
+    place = keys.view(np.uint64) >> np.uint64(64 - bits)
+    return (parts[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+class Cache:
+    """The most frequent words (counts and values) and n-grams (values), and the bitmap of all n-grams."""
+
+    def __init__(self, words: pa.Table, grams: pa.Table, denominator: float, bits: np.ndarray):
+        self.denominator, self.bits = denominator, bits
+        order = np.argsort(words["k"].to_numpy().view(np.uint64))
+        self.words = words["k"].to_numpy().view(np.uint64)[order]
+        self.root = np.log10((words["c"].to_numpy()[order] + 0.5) / denominator)
+        self.fail = words["fail"].to_numpy()[order]
+        order = np.argsort(grams["k"].to_numpy().view(np.uint64))
+        self.grams, self.values = grams["k"].to_numpy().view(np.uint64)[order], grams["value"].to_numpy()[order]
+
+
+def learn(train: DataFrame, *, head_words: int = HEAD_WORDS, context_words: int | None = None, arcs: int = ARCS, order: int = ORDER, filter_bits: int = FILTER_BITS) -> tuple[Cache, DataFrame, DataFrame, int, int]:
+    """The cache, all words (k, c, fail), all kept n-grams (k, value), the count from which a word is in the cache, and the
+    training tokens; ``train`` has column text. ``context_words`` bounds nothing: all words are contexts."""
     counts = count_keys(train, lambda chunk: tokens(chunk)[0], "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head_cut = cut_for(counts, head_words)
-    head = counts.where(F.col("c") >= head_cut).toArrow()
-    context_cut = max(head_cut, cut_for(counts, context_words, 2))
-    automaton = Automaton(head["k"].to_numpy().view(np.uint64), head["c"].to_numpy(), total, distinct, context_cut)
-    for level in range(1, order):
-        shared = train.sparkSession.sparkContext.broadcast(automaton)
-
-        def keys_of(chunk: bt.Chunk, shared=shared, level=level) -> np.ndarray:
-            t, row = tokens(chunk)
-            model = shared.value
-            context = model.contexts(t)
-            state = model.states(context, row, level)
-            on = np.flatnonzero((row[1:] == row[:-1]) & (state[:-1] >= 0) & (context[1:] >= 0)) + 1
-            return state[on - 1] << SHIFT | context[on]
-
-        found = count_keys(train, keys_of, f"grams-{level + 1}")
-        once, twice = found.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    denominator = total + 0.5 * (distinct + 1)
+    # of the level below: key, count, log10 probability
+    below = counts.where("c >= 2").select("k", "c", F.log10((F.col("c") + 0.5) / F.lit(denominator)).alias("p"))
+    levels, fails = [], []
+    for level in range(2, order + 1):
+        if level == 2:  # the rows of all pairs are the most: they are dealt as keys only, and parts are found for the kept ones
+            pairs = count_keys(train, lambda chunk: gram_keys(*tokens(chunk), 2)[0], "pairs", 2)
+            ends = counts.where(F.col("k") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+            often, twice = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 2)).first()
+            once = total - ends - often  # every token but a text's first ends a pair
+            found = count_grams(train, 2, bitmap(pairs, filter_bits), whole=True)
+        else:
+            found = count_grams(train, level, bitmap(below, filter_bits), whole=False)
+            single = found.where("c = 1")
+            for part in "ab":  # the bitmap lets some pass whose parts aren't kept
+                single = single.join(below.select(F.col("k").alias(part)), part, "left_semi")
+            once, twice = single.count(), found.where("c = 2").count()
         discount = once / (once + 2 * twice) if once and twice else 0.5
-        kept = found.where(F.col("c") >= cut_for(found, arcs, 2)).toArrow()
-        automaton.add_level(kept["k"].to_numpy(), kept["c"].to_numpy(), discount)
-        if not kept.num_rows:
-            break
-    return automaton, counts, head_cut, total
+        kept = found.where("c >= 2")
+        taken = kept.groupBy("a").agg(F.sum(F.col("c") - discount).alias("taken"))
+        states = taken.join(below.select(F.col("k").alias("a"), F.col("c").alias("total")), "a")
+        states = stored(states.select("a", "total", F.log10(F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-12))).alias("fail")), f"states-{level}")
+        arc = kept.join(states, "a").join(below.select(F.col("k").alias("b"), F.col("p").alias("lower")), "b")
+        p = F.log10((F.col("c") - discount) / F.col("total") + F.pow(F.lit(10.0), F.col("fail") + F.col("lower")))
+        below = stored(arc.select("k", "c", p.alias("p"), (p - F.col("fail") - F.col("lower")).alias("gain")), f"arcs-{level}")
+        levels.append(below)
+        fails.append(states.select(F.col("a").alias("k"), "fail"))
+    words = stored(counts.join(fails[0], "k", "left").select("k", "c", F.coalesce("fail", F.lit(0.0)).alias("fail")), "words")
+    parts = []
+    for n, gained in enumerate(levels):
+        if n + 1 < len(levels):
+            gained = gained.join(fails[n + 1], "k", "left").withColumn("gain", F.col("gain") + F.coalesce("fail", F.lit(0.0)))
+        parts.append(stored(gained.select("k", "c", F.col("gain").alias("value")), f"values-{n + 2}"))
+    grams = parts[0]
+    for more in parts[1:]:
+        grams = grams.unionByName(more)
+    head_cut = cut_for(counts, head_words)
+    often = [x.where(F.col("c") >= cut_for(x, arcs, 2)).select("k", "value").toArrow() for x in parts]
+    cache = Cache(words.where(F.col("c") >= head_cut).toArrow(), pa.concat_tables(often), denominator, bitmap(grams, filter_bits))
+    return cache, words, grams.select("k", "value"), head_cut, total
 
 
 def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", fold: int = 5, **bounds) -> DataFrame:
@@ -220,35 +322,50 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     docs = picked(docs, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = text_rows(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(crc_mod(id_column, fold) == 1, F.lit(True)).alias("held_out")), "doc_id", "held_out", "text")
-    automaton, counts, head_cut, total = learn(rows.where("NOT held_out").select("text"), **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    cache, words, grams, head_cut, total = learn(rows.where("NOT held_out").select("text"), **bounds)
+    shared = docs.sparkSession.sparkContext.broadcast(cache)
+    order = bounds.get("order", ORDER)
+
+    def lists(row: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(keys.view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, number = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in bt.chunks(bt.string_column(batch, "text")):
                 t, row = tokens(chunk)
-                weight, head = model.traverse(t, row)
-                known = head >= 0
-                base = np.bincount(row[known], model.root[head[known]], chunk.rows)
-                tail_row, tail = row[~known], t[~known].view(np.int64)
-                offsets = np.searchsorted(tail_row, np.arange(chunk.rows + 1)).astype(np.int32)
                 n = chunk.rows
+                head = bt.find_sorted(model.words, t)
+                known = head >= 0
+                base = np.bincount(row[known], model.root[head[known]], n)
+                value = base + np.bincount(row[known], model.fail[head[known]], n)
+                more_rows, more_keys = [], []
+                for level in range(2, order + 1):
+                    key, _, _, at = gram_keys(t, row, level)
+                    place = bt.find_sorted(model.grams, key)
+                    here = place >= 0
+                    value += np.bincount(row[at[here]], model.values[place[here]], n)
+                    rest = np.flatnonzero(~here)
+                    rest = rest[marked(model.bits, key[rest])]
+                    more_rows.append(row[at[rest]])
+                    more_keys.append(key[rest])
+                more_row, more_key = np.concatenate(more_rows), np.concatenate(more_keys)
+                by_row = np.argsort(more_row, kind="stable")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(number + np.arange(n)), batch.column(0).slice(chunk.first, n), batch.column(1).slice(chunk.first, n), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[known], minlength=n)),
-                     pa.array(base), pa.array(np.bincount(row, weight, n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tail))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "tail"],
+                     pa.array(base), pa.array(value), lists(row[~known], t[~known], n), lists(more_row[by_row], more_key[by_row], n)],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "tail", "more"],
                 )
                 number += n
 
-    part = stored(rows.mapInArrow(work, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, tail array<long>"), "scored")
+    part = stored(rows.mapInArrow(work, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, tail array<long>, more array<long>"), "scored")
     tail = part.select("row", F.explode("tail").alias("k")).groupBy("row", "k").agg(F.count("*").alias("times"))
-    rare = counts.where(F.col("c") < head_cut)
-    weight = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(automaton.denominator)))
-    looked_up = tail.join(rare, "k", "left").select("row", "times", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * weight).alias("weight"))
-    sums = looked_up.groupBy("row").agg(F.sum("known").alias("known"), F.sum("weight").alias("weight"))
+    weight = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(cache.denominator)))
+    looked_up = tail.join(words.where(F.col("c") < head_cut), "k", "left").select("row", "times", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * weight).alias("weight"), (F.col("times") * F.coalesce("fail", F.lit(0.0))).alias("fail"))
+    sums = looked_up.groupBy("row").agg(F.sum("known").alias("known"), F.sum("weight").alias("weight"), F.sum("fail").alias("fail"))
+    gained = part.select("row", F.explode("more").alias("k")).join(grams, "k").groupBy("row").agg(F.sum("value").alias("gained"))
     more = lambda c: F.coalesce(c, F.lit(0))
-    return part.drop("tail").join(sums, "row", "left").select(
+    return part.drop("tail", "more").join(sums, "row", "left").join(gained, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + more("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_head") + more("weight")).alias("base_score"), (F.col("score_head") + more("weight")).alias("score"),
+        (F.col("base_head") + more("weight")).alias("base_score"), (F.col("score_head") + more("weight") + more("fail") + more("gained")).alias("score"),
     )
