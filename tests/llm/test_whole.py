@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from lexstrata.llm import lm_scoring
+from lexstrata.llm import lm_scoring, quality
 
 from .helpers import documents, plain_words
 from .test_operators import prose
@@ -42,3 +42,16 @@ def test_lm_scores_do_not_depend_on_the_caches(spark):
     for bounds in ({}, {"head_words": 6, "context_words": 4, "arcs": 50}, {"head_words": 6, "arcs": 50, "filter_bits": 15}):
         got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, docs), **bounds).collect()}
         assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_quality_rejects_repeats_and_toxic_passages(spark):
+    abuse = ["vile", "rotten", "filthy"]
+    good = [(i, prose(i, 80)) for i in range(200)]
+    toxic = [(500 + i, " ".join(w + (" " + abuse[k % 3] if k % 20 == i % 7 else "") for k, w in enumerate(prose(500 + i, 80).split(" ")))) for i in range(40)]
+    repeats = [(800, "the the the the " * 20), (801, prose(801, 200) + " of and to the" * 40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 1, 1) for i, _ in toxic[:20]], "doc_id long, quality int, toxic int")
+    docs = documents(spark, [*good, *toxic, *repeats, (900, prose(900, 5000))])
+    got = {x["doc_id"]: x["accepted"] for x in quality.report(docs, labels).collect()}
+    assert not any(got[i] for i, _ in [*toxic, *repeats])
+    assert sum(got[i] for i, _ in good) >= 0.97 * len(good) and got[900]
+    assert {x["doc_id"] for x in quality.keep_good(docs, labels).collect()} == {i for i, x in got.items() if x}
