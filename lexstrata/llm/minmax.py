@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, *, shingle: int, permutations: int, id_column: s
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, *, shingle: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, grams): the whole sets of the documents in ``ids``; one row per id."""
+    """(id, grams): the whole sets of the documents in ``ids``; one row for each of theirs."""
     kind = docs.schema[id_column].dataType.simpleString()
     wanted = ids.select(F.col("id").alias("wanted_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -123,7 +123,9 @@ def _verify_block(percent: int):
     def work(group: pd.DataFrame) -> pd.DataFrame:
         """Links between members of different components of one bucket (or of two blocks of it), as far as they join components."""
         first, second = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        group = group.drop_duplicates("id").sort_values(["n", "id"])
+        # an id of several texts has a row for each
+        group = group.assign(n=group["grams"].map(len), digest=[hash(np.sort(g).tobytes()) for g in group["grams"]])
+        group = group.drop_duplicates(["id", "digest"]).sort_values(["n", "id"])
         ids, sizes, block = group["id"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
         sets = [np.asarray(g) for g in group["grams"]]
         root = dict(zip(group["component"], group["component"], strict=True))
@@ -159,17 +161,23 @@ def clusters(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permutatio
     sig = stored(signatures(docs, shingle=shingle, permutations=permutations, id_column=id_column, text_column=text_column), "signatures")
     nodes = sig.where("n > 0 AND id IS NOT NULL")
     equal = nodes.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
-    copies = stored(nodes.select("id", "lo", "hi").join(stored(equal, "equal-sets"), ["lo", "hi"]).where("id <> rep").select("id", "rep").distinct(), "copies")
-    banded = nodes.join(copies.select("id"), "id", "left_anti").select("id", "n", F.explode("bands").alias("band"))
-    found = banded.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("who")).where("center <> last")
+    copies = stored(nodes.select("id", "lo", "hi").join(stored(equal, "equal-sets"), ["lo", "hi"]).where("id <> rep").select("id", "lo", "hi", "rep").distinct(), "copies")
+    # an id of several texts is one node: it is linked with what each of its texts copies
+    several = nodes.groupBy("id").agg(F.min(F.struct("lo", "hi")).alias("a"), F.max(F.struct("lo", "hi")).alias("b")).where("a <> b").select("id")
+    own = copies.join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    # a copy is left out by its row: its id may have other texts; rows of one id in one band are one member
+    banded = nodes.join(copies.select("id", "lo", "hi"), ["id", "lo", "hi"], "left_anti").select("id", "n", F.explode("bands").alias("band"))
+    banded = banded.groupBy("id", "band").agg(F.max("n").alias("n"))
+    who = [F.sum(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 31))).alias(f"who{salt}") for salt in (1, 2)]
+    found = banded.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count("*").alias("members"), *who).where("center <> last")
     # buckets with the same members count once
-    buckets = stored(found.groupBy("center", "members", "who").agg(F.min("band").alias("band")), "buckets")
+    buckets = stored(found.groupBy("center", "members", "who1", "who2").agg(F.min("band").alias("band")), "buckets")
     inside = stored(banded.join(buckets.select("band", "center", "members"), "band"), "bucket-members")
     pairs = stored(inside.where("id <> center").select("center", "id").distinct(), "pairs")
     sets = stored(full_sets(docs, pairs.select("id").unionByName(pairs.select(F.col("center").alias("id"))), shingle=shingle, id_column=id_column, text_column=text_column), "sets")
     both = pairs.join(sets.withColumnRenamed("grams", "a"), "id").join(sets.select(F.col("id").alias("center"), F.col("grams").alias("b")), "center")
     common = both.select("id", "center", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("common"))
-    links = stored(common.where(f"100 * common >= {percent} * (total - common)").select(F.col("id").alias("u"), F.col("center").alias("v")), "links")
+    links = stored(common.where(f"100 * common >= {percent} * (total - common)").select(F.col("id").alias("u"), F.col("center").alias("v")).unionByName(own), "links")
     found = components(links)
     # what is left: buckets of three or more whose members aren't one component yet
     labelled = inside.where("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -6,8 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
-from lexstrata.llm import lm_scoring, quality
+from lexstrata.llm import lm_scoring, minmax, quality
 
 from .helpers import documents, plain_words
 from .test_operators import prose
@@ -55,3 +56,15 @@ def test_quality_rejects_repeats_and_toxic_passages(spark):
     assert not any(got[i] for i, _ in [*toxic, *repeats])
     assert sum(got[i] for i, _ in good) >= 0.97 * len(good) and got[900]
     assert {x["doc_id"] for x in quality.keep_good(docs, labels).collect()} == {i for i, x in got.items() if x}
+
+
+def test_minmax_links_all_rows_of_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    near = lambda t: t + " end"
+    docs = [(1, a), (1, b), (2, near(a)), (2, near(a)), (3, near(b)), (3, near(b)), (14, c), (15, c), (15, d), (16, near(d)), (20, "alone here"), (20, "alone here")]
+    got = minmax.report(documents(spark, docs)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, 1 if i < 4 else 14 if i < 17 else 20) for i, _ in docs)
+    first, second = np.arange(100), np.arange(500, 600)
+    rows = [(7, 100, 0, 7, first), (7, 100, 0, 7, second), (9, 100, 0, 9, second + (second == 599))]
+    group = pd.DataFrame(rows, columns=["id", "n", "block", "component", "grams"]).assign(band=0, i=0, j=0)
+    assert minmax._verify_block(80)(group).values.tolist() == [[7, 9]]
