@@ -48,18 +48,24 @@ def infer(edge_rows: DataFrame, questions: DataFrame, *, max_hops: int = 8) -> D
     return out.select("subject", "target", F.col("hops").isNotNull().alias("proved"), "hops", "path", reason.alias("reason"))
 
 
-def parent_chains(messages: DataFrame, *, most: int = 64) -> DataFrame:
-    """(message_id, depth, roles) from each message up to its root; raises nothing, rows of broken chains have ``ok`` false."""
-    up = messages.select(F.col("message_id").alias("at"), F.col("parent_id").alias("above"), F.col("role").alias("at_role"), F.col("message_tree_id").alias("at_tree"))
-    current = messages.select("message_id", "message_tree_id", F.col("parent_id").alias("next"), F.array("role").alias("roles"), F.array("message_id").alias("seen"), F.lit(True).alias("ok"))
-    done = current.where("next IS NULL")
-    open_ = current.where("next IS NOT NULL")
-    for _ in range(most):
-        step = open_.join(up, F.col("next") == F.col("at"), "left")
-        fine = F.col("ok") & F.col("at").isNotNull() & (F.col("at_tree") == F.col("message_tree_id")) & (F.col("at_role") != F.element_at("roles", -1)) & ~F.array_contains("seen", F.col("next"))
-        moved = stored(step.select("message_id", "message_tree_id", F.when(fine, F.col("above")).alias("next"), F.concat("roles", F.array("at_role")).alias("roles"), F.concat("seen", F.array("next")).alias("seen"), F.coalesce(fine, F.lit(False)).alias("ok")), "chains")
-        done = done.unionByName(moved.where("next IS NULL"))
-        open_ = moved.where("next IS NOT NULL")
-        if open_.isEmpty():
-            break
-    return done.select("message_id", (F.size("roles") - 1).alias("depth"), "roles", "ok")
+def parent_chains(messages: DataFrame) -> DataFrame:
+    """(message_id, depth, roles) from each message up to its root; raises nothing, rows of broken chains have ``ok`` false.
+
+    Each message holds a stretch of its chain and where it goes on; every round appends the stretch that the next one holds,
+    so stretches double and a chain of n messages takes about log2(n) rounds. Where a stretch breaks or closes a ring, it ends.
+    """
+    up = messages.select(F.col("message_id").alias("at"), F.col("role").alias("at_role"), F.col("message_tree_id").alias("at_tree"))
+    fine = F.coalesce((F.col("at_tree") == F.col("message_tree_id")) & (F.col("at_role") != F.col("role")) & (F.col("parent_id") != F.col("message_id")), F.lit(False))
+    ok = F.col("parent_id").isNull() | fine
+    step = messages.join(up, F.col("parent_id") == F.col("at"), "left")
+    chains = step.select("message_id", F.when(fine, F.col("parent_id")).alias("next"), F.when(ok, F.array("role")).otherwise(F.array("role", "at_role")).alias("roles"), F.when(ok, F.array("message_id")).otherwise(F.array("message_id", "parent_id")).alias("seen"), ok.alias("ok"))
+    chains = stored(chains, "chains")
+    while not chains.where("next IS NOT NULL").isEmpty():
+        on = chains.select(F.col("message_id").alias("at"), F.col("next").alias("then"), F.col("roles").alias("more"), F.col("seen").alias("met"), F.col("ok").alias("fine"))
+        grown = chains.where("next IS NOT NULL").join(on, F.col("next") == F.col("at")).select("message_id", F.col("then").alias("next"), F.concat("roles", "more").alias("roles"), F.concat("seen", "met").alias("seen"), F.col("fine").alias("ok"))
+        # a ring ends with the first message that comes again
+        again = F.when(F.size(F.array_distinct("seen")) < F.size("seen"), F.array_min(F.filter(F.transform("seen", lambda x, i: F.when(F.array_position("seen", x) <= i, i + 1)), lambda i: i.isNotNull())))
+        cut = lambda c: F.when(F.col("again").isNull(), F.col(c)).otherwise(F.slice(c, F.lit(1), F.col("again")))
+        grown = grown.withColumn("again", again).select("message_id", F.when(F.col("again").isNull(), F.col("next")).alias("next"), cut("roles").alias("roles"), cut("seen").alias("seen"), (F.col("ok") & F.col("again").isNull()).alias("ok"))
+        chains = stored(chains.where("next IS NULL").unionByName(grown), "chains")
+    return chains.select("message_id", (F.size("roles") - 1).alias("depth"), "roles", "ok")
