@@ -64,13 +64,26 @@ def tf_cosine_topk(docs: DataFrame, doc_id: int, *, k: int = 20) -> DataFrame:
     return dots.join(norms, "doc_id").join(F.broadcast(own)).where(F.col("doc_id") != doc_id).select("doc_id", score).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def embedding_topk(vectors: DataFrame, vec_id: int, *, k: int = 20) -> DataFrame:
-    """Nearest vectors of one vector by cosine, in double precision."""
+def embedding_scores(vectors: DataFrame, vec_id: int) -> DataFrame:
+    """Every other row of ``vectors`` with ``score``, the cosine to one vector in double precision."""
     v = F.col("embedding").cast("array<double>")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     asked = F.broadcast(vectors.where(F.col("vec_id") == vec_id).select(v.alias("q")))
     score = dot(v, F.col("q")) / F.sqrt(dot(v, v) * dot(F.col("q"), F.col("q")))
-    return vectors.where(F.col("vec_id") != vec_id).join(asked).select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    return vectors.where(F.col("vec_id") != vec_id).join(asked).withColumn("score", F.round(score, 6)).drop("q")
+
+
+def embedding_topk(vectors: DataFrame, vec_id: int, *, k: int = 20) -> DataFrame:
+    """Nearest vectors of one vector by cosine, in double precision."""
+    return embedding_scores(vectors, vec_id).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def best_of_each(rows: DataFrame, group: str, k: int, *, salts: int = 64) -> DataFrame:
+    """The ``k`` rows of each group with the highest ``score``, ties by ``id``; found first within salted parts of a group."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    for keys in ([F.col(group), salt], [F.col(group)]):
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("_rank") <= k).drop("_rank")
+    return rows
 
 
 def char_ngrams(docs: DataFrame) -> DataFrame:

@@ -173,13 +173,8 @@ def interference_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def mmr_select(spark: SparkSession, folder: str) -> DataFrame:
     """Q14: four differing vectors of each label's fifty best candidates by closeness to vector 0."""
-    from pyspark.sql import Window
-
-    e = table(spark, folder, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    near = R.embedding_topk(table(spark, folder, "embeddings"), 0, k=1000)
-    rows = e.join(F.broadcast(near), "vec_id").select("label", F.col("vec_id").alias("id"), "score", F.col("v").alias("vector"))
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))).where("r <= 50").drop("r")
-    return R.mmr_select(top, group="label")
+    rows = R.embedding_scores(table(spark, folder, "embeddings"), 0).select("label", F.col("vec_id").alias("id"), "score", F.col("embedding").cast("array<double>").alias("vector"))
+    return R.mmr_select(R.best_of_each(rows, "label", 50), group="label")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, term FROM ({KEPT}) WHERE term IN ('that', 'hand', 'tion')) SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM t GROUP BY term""")

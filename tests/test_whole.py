@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexstrata import catalog
 from lexstrata.operators import graph
 
 
@@ -11,3 +12,10 @@ def test_parent_chains_have_no_longest_depth(spark):
     got = {r["message_id"]: r for r in graph.parent_chains(spark.createDataFrame(rows, "message_id string, parent_id string, message_tree_id string, role string")).collect()}
     assert len(got) == len(rows) and all(got[f"a{i}"]["depth"] == i and got[f"a{i}"]["ok"] for i in range(150))
     assert all(got[f"r{i}"]["depth"] == 6 and not got[f"r{i}"]["ok"] for i in range(6)) and (got["x"]["depth"], got["x"]["ok"]) == (7, False)
+
+
+def test_mmr_select_gives_every_label_its_candidates(spark, tmp_path):
+    rows = [(i, [1.0, 0.001 * (i % 50)], 0) for i in range(1200)] + [(2000 + i, [0.2, 1.0 + i], 1) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["mmr_select"](spark, str(tmp_path)).collect()
+    assert sorted((r["label"], r["pick"]) for r in got) == [(label, k) for label in (0, 1) for k in range(4)]
