@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,31 +105,30 @@ def decode_beam(prompts: DataFrame, counts: DataFrame, *, width: int = 4, steps:
     return beams.withColumn("rank", F.row_number().over(final)).where("rank = 1").select("prompt_id", F.col("out").alias("text"), "score", "done")
 
 
-def sample_decode(prompts: DataFrame, counts: DataFrame, *, seed: int = 0, steps: int = 24, order: int = 2, working_set: int = 20_000) -> DataFrame:
-    """G-3 (sampling): one seeded continuation of each prompt over the most frequent transitions."""
-    shared = counts.where(F.col("depth") == order).orderBy(F.desc("n"), "prefix", "target").limit(working_set).select("prefix", "target", "n").toPandas()
-    table: dict[str, tuple[list, np.ndarray]] = {p: (g["target"].tolist(), g["n"].to_numpy(float)) for p, g in shared.groupby("prefix")}
-    bc = prompts.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("string")
-    def draw(ids: pd.Series, start: pd.Series) -> pd.Series:
-        out = []
-        for i, s in zip(ids, start, strict=True):
-            rng, words, text = np.random.default_rng([seed, int(i)]), s.split(" "), []
-            for _ in range(steps):
-                found = bc.value.get(" ".join(words[-order:]))
-                if not found:
-                    break
-                w = found[0][int(rng.choice(len(found[0]), p=found[1] / found[1].sum()))]
-                if w == EOS:
-                    break
-                words.append(w)
-                text.append(w)
-            out.append(" ".join(text))
-        return pd.Series(out)
+def sample_decode(prompts: DataFrame, counts: DataFrame, *, seed: int = 0, steps: int = 24, order: int = 2) -> DataFrame:
+    """G-3 (sampling): one seeded continuation of each prompt over all transitions.
 
-    padded = F.concat_ws(" ", F.concat(F.array_repeat(F.lit(BOS), order), X.compiler_tokens(F.col("text"))))
-    return prompts.select("prompt_id", draw("prompt_id", padded).alias("text"))
+    The prompts' prefixes are joined with their transitions step by step; the target of a draw is the one
+    in whose share of the prefix's occurrences a uniform number of prompt and step falls.
+    """
+    known = stored(counts.where(F.col("depth") == order).select("prefix", "target", "n"), "transitions")
+    padded = F.concat(F.array_repeat(F.lit(BOS), order), X.compiler_tokens(F.col("text")))
+    rows = stored(prompts.select(F.monotonically_increasing_id().alias("row"), "prompt_id", F.concat_ws(" ", F.slice(padded, -order, order)).alias("prefix"), F.lit("").alias("out"), F.lit(False).alias("done")), "samples")
+    up_to = Window.partitionBy("prefix").orderBy("target")
+    for step in range(steps):
+        open_ = rows.where("NOT done")
+        reached = known.join(open_.select("prefix").distinct(), "prefix", "left_semi").withColumn("below", F.sum("n").over(up_to) - F.col("n"))
+        total = reached.groupBy("prefix").agg(F.sum("n").alias("total"))
+        uniform = F.pmod(F.xxhash64(F.lit(seed), "prompt_id", F.lit(step)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        drawn = open_.join(total, "prefix").withColumn("place", F.least(F.floor(uniform * F.col("total")), F.col("total") - 1))
+        hit = drawn.join(reached, "prefix").where((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("n"))).select("row", "target")
+        more = rows.join(hit, "row", "left")
+        ends = F.col("done") | F.col("target").isNull() | (F.col("target") == EOS)
+        tail = F.concat_ws(" ", F.slice(F.split(F.concat_ws(" ", "prefix", "target"), " "), -order, order))
+        rows = stored(more.select("row", "prompt_id", F.when(ends, F.col("prefix")).otherwise(tail).alias("prefix"), F.when(ends, F.col("out")).otherwise(F.ltrim(F.concat_ws(" ", "out", "target"))).alias("out"), ends.alias("done")), "samples")
+        if rows.where("NOT done").isEmpty():
+            break
+    return rows.select("prompt_id", F.col("out").alias("text"))
 
 
 def group_fingerprint(docs: DataFrame, *, by: str) -> DataFrame:

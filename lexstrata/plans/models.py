@@ -76,7 +76,7 @@ def decode_beam(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def decode_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """G-3: seeded samples from the most frequent transitions."""
+    """G-3: seeded samples from all transitions."""
     prompts = table(spark, folder, "benchmark").select(F.col("item_id").alias("prompt_id"), F.lit("").alias("text"))
     return N.sample_decode(prompts, N.transitions(docs(spark, folder)), seed=7)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexstrata import catalog
-from lexstrata.operators import graph
+from lexstrata.operators import graph, ngrams
 
 
 def test_parent_chains_have_no_longest_depth(spark):
@@ -19,3 +19,12 @@ def test_mmr_select_gives_every_label_its_candidates(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalog.queries()["mmr_select"](spark, str(tmp_path)).collect()
     assert sorted((r["label"], r["pick"]) for r in got) == [(label, k) for label in (0, 1) for k in range(4)]
+
+
+def test_samples_follow_rare_transitions(spark):
+    frequent = [(2, f"p{i} q", "z", 5) for i in range(20_000)]
+    rare = [(2, "<BOS> a", "b", 1), (2, "a b", "c", 1), (2, "a b", "d", 1), (2, "b c", "<EOS>", 1), (2, "b d", "<EOS>", 1)]
+    counts = spark.createDataFrame([*frequent, *rare], "depth int, prefix string, target string, n long")
+    prompts = spark.createDataFrame([(i, "a") for i in range(200)], "prompt_id long, text string")
+    got = [r["text"] for r in ngrams.sample_decode(prompts, counts, seed=3).collect()]
+    assert len(got) == 200 and set(got) == {"b c", "b d"} and 60 < got.count("b c") < 140
