@@ -199,8 +199,8 @@ def coordinate_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def physical_energy(spark: SparkSession, folder: str) -> DataFrame:
-    """Energies of the codes (short texts; a code is as long as its text)."""
-    rows = W.coefficients(docs(spark, folder).where(F.octet_length("text") <= 2000).select("doc_id", "text"))
+    """Energies of the codes of all texts; a text that is null counts as empty."""
+    rows = W.coefficients(docs(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     return rows.select("doc_id", F.round(W.physical_energy(F.col("coefficients")), 4).alias("physical"), F.round(W.byte_energy(F.col("text")), 6).alias("energy"))
 
 

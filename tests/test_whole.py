@@ -28,3 +28,10 @@ def test_samples_follow_rare_transitions(spark):
     prompts = spark.createDataFrame([(i, "a") for i in range(200)], "prompt_id long, text string")
     got = [r["text"] for r in ngrams.sample_decode(prompts, counts, seed=3).collect()]
     assert len(got) == 200 and set(got) == {"b c", "b d"} and 60 < got.count("b c") < 140
+
+
+def test_physical_energy_has_long_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "short"), (2, "long text " * 900), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalog.queries()["physical_energy"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4} and abs(got[2]["energy"] - 900 * sum(((b - 127.5) / 127.5) ** 2 for b in b"long text ")) < 1e-3
+    assert got[2]["physical"] is not None and got[3]["physical"] == got[4]["physical"]
