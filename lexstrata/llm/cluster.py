@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Spark's own setting: a write removes its shuffle files when it ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,16 +39,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile removes its shuffle files when it ends."""
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage and survives lost executors. The shuffle
+    files of the write are removed with its end, as nothing reads them again."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    with no_shuffle_left(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that :func:`stored` returned and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB at most, whatever the length of a row; every operator sets the same value."""
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
-def text_rows(docs: DataFrame, *columns: str, batch_rows: int = 512) -> DataFrame:
-    """Only ``columns`` of ``docs``; also bounds the rows of an Arrow batch, as texts can be long."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """Only ``columns`` of ``docs``; also bounds the bytes of an Arrow batch, as texts can be long."""
+    bounded_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
@@ -58,9 +91,9 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def filtered(docs: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray], *, batch_rows: int = 512) -> DataFrame:
+def filtered(docs: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` for which ``decide`` gives True, with all their columns; ``decide`` sees columns named by place."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    bounded_batches(docs.sparkSession)
     rows = numbered(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -390,7 +390,7 @@ def encode(docs: DataFrame, *, model_path: str = MODEL_PATH, id_column: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
     columns = [id_column, *keep]
     docs = picked(docs, *columns, text_column)
-    rows = text_rows(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_column).alias("_text")), *columns, "_text", batch_rows=1000)
+    rows = text_rows(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_column).alias("_text")), *columns, "_text")
     schema = add_columns(docs.select(*[F.col(f"`{c}`") for c in columns]).schema, n_pieces="long", pieces_sha256="string", round_trip="boolean", pieces="array<int>")
     blank = BLANK.encode()
 

@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, *, version: int = 0, model_path: str = MODEL_P
                 pieces[part] = np.diff(model.encode(chunk)[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words), pa.array(pieces)], names=["doc_id", "source", "lang", "words", "pieces"])
 
-    counted = text_rows(docs, "doc_id", "source", "lang", "text", batch_rows=1000).mapInArrow(work, f"doc_id {kinds['doc_id']}, source {kinds['source']}, lang {kinds['lang']}, words long, pieces long")
+    counted = text_rows(docs, "doc_id", "source", "lang", "text").mapInArrow(work, f"doc_id {kinds['doc_id']}, source {kinds['source']}, lang {kinds['lang']}, words long, pieces long")
     each = F.inline(F.array(F.struct(F.lit(WORDS).alias("tokenizer"), F.col("words").alias("n_tokens")), F.struct(F.lit(PIECES).alias("tokenizer"), F.col("pieces").alias("n_tokens"))))
     return counted.select("doc_id", "source", "lang", each).select("doc_id", "tokenizer", "source", "lang", "n_tokens", F.lit(version).cast("long").alias("version"), F.lit(True).alias("alive"))
 

@@ -195,7 +195,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     groups = rows.where(F.octet_length("body") >= min_revisit_bytes).groupBy("key").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
     firsts = stored(groups.select(F.col("key").alias("first_key"), "first"), "warc-firsts")
     dictionary = train_dictionary(pages, html_column)
-    joined = text_rows(rows.join(firsts, F.col("key") == F.col("first_key"), "left"), "page", "url", "body", "first", batch_rows=256)
+    joined = text_rows(rows.join(firsts, F.col("key") == F.col("first_key"), "left"), "page", "url", "body", "first")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = ArchiveWriter(folder, dictionary), []
