@@ -201,6 +201,15 @@ def _scan_chunk(chunk: bt.Chunk, indexes: list[Broadcast]) -> tuple[np.ndarray,
     return np.bincount(row, minlength=chunk.rows), {r: _merged(s) for r, s in spans.items()}, items, longest, starts, ends
 
 
+def _without(chunk: bt.Chunk, r: int, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> str:
+    """The text of a row without its spans."""
+    parts, at = [], int(chunk.offsets[r])
+    for a, b in spans:
+        parts.append(chunk.buf[at : starts[a]].tobytes())
+        at = int(ends[b - 1])
+    return b"".join([*parts, chunk.buf[at : chunk.offsets[r + 1]].tobytes()]).decode()
+
+
 def scan(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: words, hit words, matching items, longest match and the hit spans in bytes."""
     docs, items = picked(docs, id_column, text_column), picked(items, "item_id", "text")
@@ -253,6 +262,7 @@ def report(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFr
 
 def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_coverage: float = 0.5, text_column: str = "text") -> DataFrame:
     """``docs`` without the spans that match items; a document of which more than ``max_coverage`` is hit goes entirely.
+    Texts are scanned again after a cut until nothing matches.
 
     All columns of ``docs`` stay; ``n_chars``, where there is one, follows the new text.
     """
@@ -271,13 +281,17 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_covera
                 for r, found in spans.items():
                     if sum(b - a for a, b in found) > max_coverage * counts[r]:
                         keep[chunk.first + r] = False
-                        continue
-                    parts, at = [], int(chunk.offsets[r])
-                    for a, b in found:
-                        parts.append(chunk.buf[at : starts[a]].tobytes())
-                        at = int(ends[b - 1])
-                    parts.append(chunk.buf[at : chunk.offsets[r + 1]].tobytes())
-                    new[chunk.first + r] = b"".join(parts).decode()
+                    else:
+                        new[chunk.first + r] = _without(chunk, r, found, starts, ends)
+            seams = list(new)
+            while seams:  # what a cut brings together can match again
+                again = []
+                for chunk in bt.chunks(pa.array([new[r] for r in seams], pa.large_string())):
+                    _, spans, _, _, starts, ends = _scan_chunk(chunk, indexes)
+                    for r, found in spans.items():
+                        again.append(seams[chunk.first + r])
+                        new[again[-1]] = _without(chunk, r, found, starts, ends)
+                seams = again
             columns = list(batch.columns)
             if new:
                 kind = columns[place].type

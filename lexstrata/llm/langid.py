@@ -82,17 +82,13 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, and the texts; each task sends one row a bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool)
+        df = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for chunk in bt.chunks(bt.string_column(batch, "text")):
                 points, offsets = characters(chunk)
                 df[BUCKETS] += chunk.rows
-                for r in range(chunk.rows):
-                    own = points[offsets[r] : offsets[r + 1]]
-                    seen[:] = False
-                    for order in ORDERS:
-                        seen[buckets(own, np.array([0, len(own)]), order)[0]] = True
-                    df[:BUCKETS] += seen
+                held = [row * BUCKETS + b for b, row in (buckets(points, offsets, order) for order in ORDERS)]
+                df[:BUCKETS] += np.bincount(np.unique(np.concatenate(held)) % BUCKETS, minlength=BUCKETS)
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["bucket", "n"])
 
@@ -160,10 +156,19 @@ def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int,
 
 
 def calibrate(logits: np.ndarray, classes: np.ndarray) -> float:
-    """The temperature of least cross-entropy, from a fine grid."""
-    grid = np.geomspace(0.05, 20, 120)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(classes)), classes] + 1e-300).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    """The temperature of least cross-entropy. One text's worth of doubt, spread over all classes, is added, so there is an
+    optimum even where every text is right; the loss is convex in the inverse temperature."""
+    doubt = 1.0 / (len(classes) + 1)
+
+    def loss(log_inverse: float) -> float:
+        p = np.log(np.maximum(softmax(logits * np.exp(log_inverse)), 1e-300))
+        return float(-((1 - doubt) * p[np.arange(len(classes)), classes] + doubt * p.mean(1)).mean())
+
+    low, high = -12.0, 12.0
+    for _ in range(80):
+        left, right = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, right) if loss(left) <= loss(right) else (left, high)
+    return float(np.exp(-(low + high) / 2))
 
 
 def learn(rows: DataFrame) -> Model:

@@ -5,8 +5,8 @@ takes such files (or any that follow the same layout), loads the dictionary, dec
 frame, and validates version line, headers, block length, trailer and payload digest. A record that
 fails is returned with its reason in ``error``.
 
-Defined results: null html is an empty payload; pages with null id are written under the id ``null``
-and never referred to; of pages that share both id and payload each is a response; an empty table
+Defined results: null html is an empty payload; pages with null id are written under an id of
+their own kind and never referred to; of pages that share both id and payload each is a response; an empty table
 gives no archive and no rows; extra columns are ignored.
 """
 
@@ -17,6 +17,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -37,7 +38,7 @@ ARCHIVE_BYTES = 32 << 20
 DICTIONARY_PAGES, DICTIONARY_BYTES = 256, 32 << 10
 READ_BYTES = 1 << 20
 FEED_BYTES = 1 << 14
-EMPTY = "urn:page:null"
+PAGE, NO_PAGE = "urn:page:", "urn:nopage:"
 
 RECORD_DDL = "record_id string, record_type string, uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
 
@@ -183,6 +184,11 @@ def parse_record(raw: bytes) -> dict:
     return out | {"payload_digest": digest or None, "payload_bytes": int(told[0]) if told and told[0].isdigit() else None}
 
 
+def page_urn(page) -> str:
+    """The record id of a page; a page without id has one of its own, which no text can equal."""
+    return NO_PAGE if page is None else PAGE + quote(str(page), safe="")
+
+
 def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Writes a record for each page and returns the stored manifest (path, records) of the finished archives.
 
@@ -202,8 +208,8 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
         for batch in batches:
             for page, url, payload, first in zip(*(batch.column(i) for i in range(4)), strict=True):
                 page, first, payload = page.as_py(), first.as_py(), payload.as_py()
-                refers = f"urn:page:{first}" if first is not None and first != page else None
-                done.append(writer.add(record_bytes("urn:page:" + ("null" if page is None else str(page)), url.as_py(), payload, date, refers)))
+                refers = page_urn(first) if first is not None and first != page else None
+                done.append(writer.add(record_bytes(page_urn(page), url.as_py(), payload, date, refers)))
         done.append(writer.close())
         done = [x for x in done if x]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
@@ -243,5 +249,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, *, min_revisit_bytes: int
     """The contract's rows: writes all pages, reads the archives back, one row per record."""
     manifest = write_archives(pages, fresh_path(spark, "warc"), min_revisit_bytes=min_revisit_bytes)
     kind = pages.schema["page_id"].dataType.simpleString()
-    page = lambda c: F.when(F.col(c) != EMPTY, F.substring_index(c, ":", -1)).cast(kind)
+    page = lambda c: F.when(F.startswith(F.col(c), F.lit(PAGE)), F.url_decode(F.substr(F.col(c), F.lit(len(PAGE) + 1)))).cast(kind)
     return read_archives(manifest, payloads=False).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "error")
