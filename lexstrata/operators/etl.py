@@ -176,11 +176,6 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.withColumn("key", key(F.col("text"))).join(forbidden, "key", "left_semi").drop("key")
 
 
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where the whole item stands in the document; the items are a bounded list that is sent along."""
-    return docs.join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), F.contains("text", F.col("item"))).select("doc_id", "item_id")
-
-
 def not_productive(docs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
     """Documents whose id and text are both new."""
     fresh = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("digest", F.sha2("text", 256))
@@ -193,8 +188,9 @@ def shard_stats(docs: DataFrame, by: str) -> DataFrame:
 
 
 def corpus_digest(docs: DataFrame) -> DataFrame:
-    """A27, V-5: an order-free digest of all rows (xor of row hashes) and their count."""
-    return docs.agg(F.bit_xor(F.xxhash64("doc_id", "text")).alias("digest"), F.count("*").alias("n"))
+    """A27, V-5: an order-free digest of all rows and their count: two sums of row hashes, so that equal rows count each."""
+    parts = [F.sum(F.xxhash64(F.lit(salt), "doc_id", "text").cast("decimal(38,0)")) for salt in ("a", "b")]
+    return docs.agg(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts], F.count("*").cast("string")), 256).alias("digest"), F.count("*").alias("n"))
 
 
 def conflicts(old: DataFrame, new: DataFrame, *columns: str) -> DataFrame:

@@ -25,7 +25,8 @@ def transitions(docs: DataFrame, *, order: int = 2) -> DataFrame:
     names = [f"w{i}" for i in range(order + 1)]
     padded = sequences(docs).select(F.concat(F.array_repeat(F.lit(BOS), order), F.col("tokens")).alias("p"))
     shifted = [F.slice("p", i + 1, F.size("p") - order) for i in range(order + 1)]
-    level = padded.select(F.inline(F.arrays_zip(*shifted))).toDF(*names).groupBy(*names).agg(F.count("*").alias("n"))
+    # stored once: every depth, and the totals of every depth, are sums of these rows
+    level = stored(padded.select(F.inline(F.arrays_zip(*shifted))).toDF(*names).groupBy(*names).agg(F.count("*").alias("n")), "grams")
     out = None
     for depth in range(order, -1, -1):
         if depth < order:
@@ -38,7 +39,11 @@ def transitions(docs: DataFrame, *, order: int = 2) -> DataFrame:
 def probabilities(counts: DataFrame) -> DataFrame:
     """N over the sum of its prefix; the totals are aggregated and joined, never gathered in one window."""
     totals = counts.groupBy("depth", "prefix").agg(F.sum("n").alias("total"))
-    return counts.join(totals, ["depth", "prefix"]).withColumn("p", F.col("n") / F.col("total"))
+    # the empty prefix is one row of totals for the whole vocabulary: it is sent along, so that no task gets all words
+    empty, longer = counts.where("depth = 0"), counts.where("depth > 0")
+    shared = empty.agg(F.sum("n").alias("total"))
+    rows = longer.join(totals.where("depth > 0"), ["depth", "prefix"]).select("depth", "prefix", "target", "n", "total")
+    return rows.unionByName(empty.join(F.broadcast(shared)).select("depth", "prefix", "target", "n", "total")).withColumn("p", F.col("n") / F.col("total"))
 
 
 def symbol_energy(counts: DataFrame) -> DataFrame:
@@ -132,9 +137,10 @@ def sample_decode(prompts: DataFrame, counts: DataFrame, *, seed: int = 0, steps
 
 
 def group_fingerprint(docs: DataFrame, *, by: str) -> DataFrame:
-    """A28, C-5: a digest of each group's token sequences in order of document."""
-    each = sequences(docs).join(docs.select("doc_id", by), "doc_id").select(by, "doc_id", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("digest"))
-    return each.groupBy(by).agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "digest"))), lambda s: s["digest"])), 256).alias("fingerprint"), F.count("*").alias("sequences"))
+    """A28, C-5: a digest of each group's token sequences by document, from two sums of row hashes: no group gathers in a task."""
+    tokens = F.concat_ws(" ", F.concat(X.compiler_tokens(F.col("text")), F.array(F.lit(EOS))))
+    parts = [F.sum(F.xxhash64(F.lit(salt), "doc_id", tokens).cast("decimal(38,0)")) for salt in ("a", "b")]
+    return docs.groupBy(by).agg(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts], F.count("*").cast("string")), 256).alias("fingerprint"), F.count("*").alias("sequences"))
 
 
 def changed_groups(now: DataFrame, before: DataFrame, *, by: str) -> DataFrame:

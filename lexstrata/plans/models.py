@@ -16,8 +16,7 @@ from .registered import query, table
 
 TOKENS = r"list_append(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\d+(?:[.,]\d+)*|[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*|[^\p{L}\p{N}_\s]'), '<EOS>')"
 COUNTS = f"""SELECT depth, prefix, target, count(*) AS n FROM (SELECT d AS depth, array_to_string(list_slice(p, i - d, i - 1), ' ') AS prefix, p[i] AS target
-FROM (SELECT p, d, unnest(range(3, len(p) + 1)) AS i FROM (SELECT list_concat(['<BOS>', '<BOS>'], {TOKENS}) AS p FROM documents WHERE doc_id < 200), (SELECT unnest([0, 1, 2]) AS d))) GROUP BY depth, prefix, target"""
-COUNTS = COUNTS.replace(" WHERE doc_id < 200", "")
+FROM (SELECT p, d, unnest(range(3, len(p) + 1)) AS i FROM (SELECT list_concat(['<BOS>', '<BOS>'], {TOKENS}) AS p FROM documents), (SELECT unnest([0, 1, 2]) AS d))) GROUP BY depth, prefix, target"""
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,10 +29,10 @@ def ngram_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return N.probabilities(N.transitions(docs(spark, folder))).select(F.col("depth").cast("long").alias("depth"), "prefix", "target", "n", F.round("p", 9).alias("p"))
 
 
-@query(f"SELECT depth, prefix, target, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY depth, prefix ORDER BY n DESC, target) AS rank FROM ({COUNTS}) WHERE depth < 2) WHERE rank <= 3")
+@query(f"SELECT depth, prefix, target, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY depth, prefix ORDER BY n DESC, target) AS rank FROM ({COUNTS})) WHERE rank <= 3")
 def transition_topk(spark: SparkSession, folder: str) -> DataFrame:
     """G-1: likeliest next tokens."""
-    out = N.top_transitions(N.transitions(docs(spark, folder), order=2).where("depth < 2"))
+    out = N.top_transitions(N.transitions(docs(spark, folder), order=2))
     return out.select(F.col("depth").cast("long").alias("depth"), "prefix", "target", "n", F.col("rank").cast("long").alias("rank"))
 
 
@@ -204,10 +203,10 @@ def physical_energy(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.round(W.physical_energy(F.col("coefficients")), 4).alias("physical"), F.round(W.byte_energy(F.col("text")), 6).alias("energy"))
 
 
-@query("SELECT doc_id, text AS decoded, true AS valid FROM documents WHERE strlen(text) <= 2000")
+@query("SELECT doc_id, text AS decoded, true AS valid FROM documents")
 def codec_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Texts encoded, turned by a phase, recovered and decoded."""
-    rows = W.coefficients(docs(spark, folder).where(F.octet_length("text") <= 2000).select("doc_id", "text"))
+    rows = W.coefficients(docs(spark, folder).select("doc_id", "text"))
     packets = rows.select("doc_id", W.recovered(W.quadratures(F.col("coefficients"), 1.25), 1.25).alias("coefficients"), F.octet_length("text").alias("byte_length"), F.sha2("text", 256).alias("sha256"))
     return W.decoded(packets).select("doc_id", "decoded", "valid")
 

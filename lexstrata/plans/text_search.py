@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as R
+from ..operators.index import index_of
 from .registered import query, quoted, table
 
 PROMPT = "that this hand entre und tion"
@@ -42,7 +43,7 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM ({KEPT}) GROUP BY term) SELECT term, df, round(1 + ln((1.0 + n) / (1 + df)), 6) AS weight FROM d, n")
 def idf_weights(spark: SparkSession, folder: str) -> DataFrame:
     """A19."""
-    return R.idf_weights(docs(spark, folder)).withColumn("weight", F.round("weight", 6))
+    return index_of(docs(spark, folder)).idf_weights().withColumn("weight", F.round("weight", 6))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT term FROM (SELECT unnest({WORDS.format(f"'{PROMPT}'")}) AS term) WHERE term NOT IN ({STOP})),
@@ -53,7 +54,7 @@ SELECT doc_id, round(sum(weight) / (SELECT sum(weight) FROM w), 6) AS coverage F
 HAVING round(sum(weight) / (SELECT sum(weight) FROM w), 6) >= 0.6 ORDER BY coverage DESC, doc_id LIMIT 20""")
 def coverage_topk(spark: SparkSession, folder: str) -> DataFrame:
     """A19, F6, K1."""
-    return R.coverage_topk(docs(spark, folder), PROMPT)
+    return index_of(docs(spark, folder)).coverage_topk(PROMPT)
 
 
 @query(f"""WITH w AS (SELECT doc_id, term, 1 + ln(count(*)) AS w FROM ({KEPT}) GROUP BY doc_id, term),
@@ -63,7 +64,7 @@ FROM w JOIN (SELECT term, w FROM w WHERE doc_id = 1) q ON q.term = w.term JOIN n
 WHERE w.doc_id <> 1 GROUP BY w.doc_id ORDER BY score DESC, w.doc_id LIMIT 20""")
 def tf_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """J3."""
-    return R.tf_cosine_topk(docs(spark, folder), 1)
+    return index_of(docs(spark, folder)).tf_cosine_topk(1)
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0)
@@ -120,7 +121,7 @@ SELECT doc_id, passage, round(sum(idf * (8.0 * ta + tb) * 2.2 / (8.0 * ta + tb +
 FROM f JOIN d USING (term), s GROUP BY doc_id, passage HAVING sum(ta + tb) > 0 ORDER BY bm25 DESC, doc_id, passage LIMIT 24""")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Q4-Q6, K2."""
-    return R.bm25_topk(docs(spark, folder), PROMPT).withColumn("passage", F.col("passage").cast("long"))
+    return index_of(docs(spark, folder)).bm25_topk(PROMPT).withColumn("passage", F.col("passage").cast("long"))
 
 
 @query(r"""SELECT doc_id, title, length(CASE WHEN title <> '' THEN trim(regexp_replace(text, '^[^\n]*\n', '')) ELSE text END) AS n_body FROM (
@@ -143,11 +144,21 @@ def term_sets(spark: SparkSession, folder: str) -> DataFrame:
     return docs(spark, folder).select("doc_id", F.size(X.term_set(F.col("text"))).cast("long").alias("n_forms"))
 
 
-@query(r"""SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM (SELECT doc_id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '(?i)\b(?:bzw|prof|ca|dr|z|b|u|a)\.', '~', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM (SELECT doc_id, regexp_replace(text, '(\d)\.(\d)', '\1~\2', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '\d|~|\.\.')))) WHERE s <> '' GROUP BY doc_id""".replace("'~', 'g'), '([.!?])", "'\\1~', 'g'), '([.!?])").replace("(?:bzw|prof|ca|dr|z|b|u|a)", "(bzw|prof|ca|dr|z|b|u|a)"))
+ABBREVIATED = "t"
+for _ in range(4):  # RE2 has no look-behind: neighbouring matches are found in turns
+    ABBREVIATED = f"regexp_replace({ABBREVIATED}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(bzw|prof|ca|dr|z|b|u|a)\\.', '\\1\\2' || chr(1), 'g')"
+NUMBERED = "replace(text, chr(13), '')"
+for _ in range(2):
+    NUMBERED = f"regexp_replace({NUMBERED}, '(\\d)\\.(\\d|[ \\t\\n\\x0B\\f]+[A-Za-zÄÖÜäöü])', '\\1' || chr(1) || '\\2', 'g')"
+
+
+@query(f"""SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM (
+SELECT doc_id, trim(regexp_replace(replace(s, chr(1), '.'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS s FROM (
+SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace({ABBREVIATED}, '([.!?])[ \\t\\n\\x0B\\f]+', '\\1' || chr(2), 'g'), '\\n[ \\t\\n\\x0B\\f]*\\n', chr(2), 'g'), chr(2))) AS s
+FROM (SELECT doc_id, {NUMBERED} AS t FROM documents))) WHERE s <> '' GROUP BY doc_id""")
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences of the documents without digits or dotted runs (where the two regular-expression dialects agree)."""
-    plain = docs(spark, folder).where(~F.rlike("text", F.lit(r"\d|~|\.\.")))
-    cut = plain.select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    """Sentences of every document that has any."""
+    cut = docs(spark, folder).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     return cut.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
 
 
@@ -201,9 +212,7 @@ def byte_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""SELECT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)""")
 def item_containment(spark: SparkSession, folder: str) -> DataFrame:
     """Test items that stand whole in a document."""
-    from ..operators.etl import contained
-
-    return contained(docs(spark, folder), table(spark, folder, "benchmark"))
+    return index_of(docs(spark, folder)).holders_of(table(spark, folder, "benchmark"), docs(spark, folder))
 
 
 @query(r"""SELECT item_id FROM benchmark WHERE trim(regexp_replace(lower(text), '[ \t\r\n\f\x0B]+', ' ', 'g')) NOT IN (SELECT trim(regexp_replace(lower(text), '[ \t\r\n\f\x0B]+', ' ', 'g')) FROM documents)""")
