@@ -209,3 +209,91 @@ def exact_columns(df: DataFrame, names: list[str]) -> DataFrame:
     if sorted(df.columns) != sorted(names):
         raise ValueError(f"columns {df.columns} instead of {names}")
     return df.select(*names)
+
+
+def lead_reason(title: Column, text: Column, markers: list[str], *, least: int = 100, most: int = MAX_CHARS, paragraphs: int = 5) -> Column:
+    """the lead of an article as (text, reason): line breaks within a paragraph become blanks, empty brackets go, a
+    paragraph that is too long ends with its last whole sentence, and paragraphs are taken until ``least`` characters stand."""
+    clean = lambda p: X.collapsed(F.regexp_replace(F.regexp_replace(p, r"\(\s*[,;]?\s*\)|\[\s*\]", " "), r"\s+([,;:.])", "$1"))
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("reason"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(s: Column, p: Column) -> Column:
+        words = F.size(X.all_words(p))
+        clipped = F.when(F.length(p) <= most, p).otherwise(F.trim(F.regexp_extract(F.substr(p, F.lit(1), F.lit(most)), r"(?s)^(.*\p{L}[.!?][\"')\]]?)(?:\s|$)", 1)))
+        both = F.when(s["n"] == 0, clipped).otherwise(F.concat(s["text"], F.lit("\n\n"), clipped))
+        reason = first_reason(
+            (~F.rlike(p, F.lit(r"[.!?][\"')\]]?$")) | F.rlike(p, F.lit(r"^\s*([-*•#|]|\d+[.)])\s")), "opening_not_complete_prose"),
+            ((s["n"] == 0) & F.rlike(p, F.lit(r"^(Diese?[rsnm]?|Dazu|Dabei|Er|Sie|Es|This|These|It|He|She|They)\b")), "dependent_opening"),
+            (words < MIN_WORDS, "too_few_words"),
+            (marker_count(p, markers) < 2, "language_heuristic"),
+            ((F.length(p) > most) & (F.length(clipped) < least), "opening_too_long"),
+            ((F.length(both) > most) & (F.length(s["text"]) < least), "opening_too_long"),
+        )
+        taken = F.when(F.length(both) > most, s["text"]).otherwise(both)
+        full = reason.isNotNull() | (F.length(taken) >= least) | (s["n"] + 1 >= paragraphs)
+        short = F.when(full & (F.length(taken) < least), "opening_too_short").otherwise("")
+        skip = s["done"] | (p == "") | (X.folded(p) == X.folded(title))
+        return F.when(skip, s).otherwise(F.struct(F.when(reason.isNull(), taken).otherwise("").alias("text"), F.coalesce(reason, short).alias("reason"), (s["n"] + 1).alias("n"), full.alias("done")))
+
+    end = F.aggregate(F.transform(F.split(text, r"\n[ \t]*\n"), clean), start, step)
+    return F.struct(F.when(end["done"] & (end["reason"] == ""), end["text"]).alias("text"), F.when(~end["done"], "opening_too_short").when(end["reason"] != "", end["reason"]).alias("reason"))
+
+
+def title_key(title: Column) -> Column:
+    """a title for comparison: composed accents, no soft hyphens, blanks collapsed; letters keep their case."""
+    return X.collapsed(F.replace(X.nfc(title), F.lit("\u00ad"), F.lit("")))
+
+
+def curated(articles: DataFrame, titles: DataFrame, column: str = "title") -> DataFrame:
+    """the articles whose title is one of ``titles`` (title, domain), with the domain."""
+    wanted = titles.select(title_key(F.col("title")).alias("_key"), "domain").distinct()
+    return articles.withColumn("_key", title_key(F.col(column))).join(wanted, "_key").drop("_key")
+
+
+def priority(title: Column, fixed: list[str], pattern: str) -> Column:
+    """titles of a fixed set or of a form."""
+    return title.isin(*fixed) | F.rlike(title, F.lit(pattern))
+
+
+def provenance(docs: DataFrame, **fixed: str) -> DataFrame:
+    """documents as id, text, source and a structure of where they come from."""
+    return docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.struct(*[F.lit(v).alias(k) for k, v in sorted(fixed.items())], F.sha2("text", 256).alias("text_sha256")).alias("provenance"))
+
+
+def metadata_packets(docs: DataFrame) -> DataFrame:
+    """Each document's own description as JSON, to be coded like a text."""
+    return docs.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "source")).alias("text"))
+
+
+def outcomes(titles: DataFrame, found: DataFrame) -> DataFrame:
+    """Of curated titles (title, domain) by domain: how many were accepted, rejected (with a reason) and never found."""
+    joined = titles.join(found.select("title", "reason").withColumn("seen", F.lit(True)), "title", "left")
+    return joined.groupBy("domain").agg(F.count_if(F.col("seen") & F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("seen") & F.col("reason").isNotNull()).alias("rejected"), F.count_if(F.col("seen").isNull()).alias("missing"))
+
+
+def same_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Ids that only one side has, with the side; no rows if the sets are equal."""
+    a, b = left.select(key).distinct(), right.select(key).distinct()
+    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+
+
+def prepared(records: DataFrame, held: DataFrame) -> DataFrame:
+    """Prepared records (id, text, source) as new, existing or conflict against those held (once for each id and content)."""
+    old = held.select("id", F.col("text").alias("_text"), F.col("source").alias("_source"))
+    state = F.when(F.col("_text").isNull() & F.col("_source").isNull(), "new").when(F.col("_text").eqNullSafe(F.col("text")) & F.col("_source").eqNullSafe(F.col("source")), "existing").otherwise("conflict")
+    return records.select("id", "text", "source").distinct().join(old, "id", "left").select("id", "text", "source", state.alias("state"))
+
+
+def shortest_of_each(rows: DataFrame, group: str, text: str, *order: str) -> DataFrame:
+    """K9: the shortest text of each group; ties by ``order``."""
+    best = F.min_by(F.struct(text, *order), F.struct(F.length(text), *order)).alias("s")
+    return rows.where(F.col(text).isNotNull()).groupBy(group).agg(best).select(group, *[f"s.{c}" for c in (text, *order)])
+
+
+def answer_axes(answers: DataFrame, cases: DataFrame) -> DataFrame:
+    """Of cases (case_id, kind, concepts: arrays of alternatives) and answers (case_id, text): by kind how many concept
+    groups were hit, how many answers hit all, and how many abstained."""
+    low = X.folded(F.coalesce("text", F.lit("")))
+    hits = F.size(F.filter("concepts", lambda group: F.exists(group, lambda c: F.contains(low, X.folded(c)))))
+    rows = cases.join(answers, "case_id", "left").select("kind", hits.alias("hits"), F.size("concepts").alias("groups"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"))
+    return rows.groupBy("kind").agg(F.count("*").alias("cases"), F.sum("hits").alias("hits"), F.sum("groups").alias("groups"), F.count_if(F.col("hits") == F.col("groups")).alias("complete"), F.count_if("empty").alias("abstained"))

@@ -39,13 +39,22 @@ def reachable(edge_rows: DataFrame, *, max_hops: int = 8, starts: DataFrame | No
 
 
 def infer(edge_rows: DataFrame, questions: DataFrame, *, max_hops: int = 8) -> DataFrame:
-    """N-2: answers to (subject, target): proved by reflexivity or transitivity, or why not."""
+    """N-2: answers to (subject, target): status, path, proof (its edges) and their sources, and the reason: unknown_node,
+    reflexivity, proved_by_transitivity, hop_limit (the search stopped with nodes still new) or no_path."""
     known = nodes(edge_rows)
-    asked = questions.join(known.withColumnRenamed("node", "subject").withColumn("s", F.lit(True)), "subject", "left").join(known.withColumnRenamed("node", "target").withColumn("t", F.lit(True)), "target", "left")
-    ways = reachable(edge_rows, max_hops=max_hops, starts=questions.select(F.col("subject").alias("node")).distinct().join(known, "node", "left_semi"))
-    out = asked.join(ways.select(F.col("start").alias("subject"), F.col("node").alias("target"), "hops", "path"), ["subject", "target"], "left")
-    reason = F.when(F.col("s").isNull() | F.col("t").isNull(), "unknown_node").when(F.col("hops") == 0, "reflexivity").when(F.col("hops") > 0, "proved_by_transitivity").otherwise("no_path")
-    return out.select("subject", "target", F.col("hops").isNotNull().alias("proved"), "hops", "path", reason.alias("reason"))
+    asked = questions.select("subject", "target").distinct().join(known.withColumnRenamed("node", "subject").withColumn("s", F.lit(True)), "subject", "left").join(known.withColumnRenamed("node", "target").withColumn("t", F.lit(True)), "target", "left")
+    starts = questions.select(F.col("subject").alias("node")).distinct().join(known, "node", "left_semi")
+    ways = reachable(edge_rows, max_hops=max_hops, starts=starts)
+    step = edge_rows.select(F.col("subject").alias("node"), F.col("object").alias("next"))
+    last = ways.where(F.col("hops") == max_hops).join(step, "node").select("start", F.col("next").alias("node")).join(ways.select("start", "node"), ["start", "node"], "left_anti").select(F.col("start").alias("subject")).distinct().withColumn("more", F.lit(True))
+    out = asked.join(ways.select(F.col("start").alias("subject"), F.col("node").alias("target"), "hops", "path"), ["subject", "target"], "left").join(last, "subject", "left")
+    pairs = F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("subject"), F.element_at("path", i + 1).alias("object"))))
+    each = out.select("subject", "target", F.posexplode(pairs).alias("i", "e")).join(edge_rows.select(F.struct("subject", "object").alias("e"), "source"), "e")
+    proof = F.transform(F.array_sort(F.collect_list(F.struct("i", "e", "source"))), lambda x: F.struct(x["e"]["subject"].alias("subject"), x["e"]["object"].alias("object"), x["source"].alias("source")))
+    out = out.join(each.groupBy("subject", "target").agg(proof.alias("proof")), ["subject", "target"], "left")
+    reason = F.when(F.col("s").isNull() | F.col("t").isNull(), "unknown_node").when(F.col("hops") == 0, "reflexivity").when(F.col("hops") > 0, "proved_by_transitivity").when(F.coalesce("more", F.lit(False)), "hop_limit").otherwise("no_path")
+    none = F.array().cast("array<struct<subject:string,object:string,source:string>>")
+    return out.select("subject", "target", F.col("hops").isNotNull().alias("proved"), F.when(F.col("hops").isNotNull(), "proved").otherwise("unknown").alias("status"), "hops", "path", F.coalesce("proof", none).alias("proof"), F.array_sort(F.array_distinct(F.transform(F.coalesce("proof", none), lambda x: x["source"]))).alias("sources"), reason.alias("reason"))
 
 
 def parent_chains(messages: DataFrame) -> DataFrame:

@@ -148,8 +148,12 @@ _built: dict[tuple, TextIndex] = {}
 
 
 def index_of(docs: DataFrame) -> TextIndex:
-    """The session's index of a table of documents, built at the first use; keyed by the table's files."""
-    key = (docs.sparkSession.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    """The session's index of a table of documents, built at the first use; keyed by the table's files. Rows that come from no
+    file get an index of their own each time."""
+    files = sorted(docs.inputFiles())
+    key = (docs.sparkSession.sparkContext.applicationId, *files)
+    if not files:
+        return TextIndex.build(docs)
     if key not in _built:
         _built[key] = TextIndex.build(docs)
     return _built[key]

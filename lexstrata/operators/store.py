@@ -6,7 +6,10 @@ take all parts up to a revision, so a snapshot never changes under them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT = "id string, text string, source string, sequence long, added_revision long"
@@ -76,6 +79,103 @@ class DocumentStore:
         added = self.spark.read.parquet(path).count()
         return {"revision": now + 1, "added": added, "existing": total - added}
 
+    def add_one(self, text: str, source: str = "user", document_id: str | None = None) -> str:
+        """Appends one document; without an id it gets the first free ``doc-N`` from the count of documents on."""
+        if not text.strip():
+            raise ValueError("a document must contain text")
+        held = self.documents()
+        if document_id is None:
+            n = held.count() + 1
+            numbers = held.select(F.regexp_extract("id", r"^doc-([1-9]\d{0,17})$", 1).alias("n")).where("n <> ''").select(F.col("n").cast("long").alias("n")).where(F.col("n") >= n)
+            # the first gap: numbers in order that still stand where they would stand without one
+            ranked = numbers.orderBy("n").limit(10_000).collect()
+            for r in ranked:
+                if r["n"] != n:
+                    break
+                n += 1
+            document_id = f"doc-{n}"
+        elif not held.where(F.col("id") == document_id).isEmpty():
+            raise ValueError("the id exists already")
+        self.append(self.spark.createDataFrame([(document_id, text, source)], "id string, text string, source string"))
+        return document_id
+
+    def migrate(self, prior: Column) -> dict[str, int]:
+        """D3: moves the documents for which ``prior`` holds to the archive and starts a new generation of the rest; readers
+        before the returned revision must read a snapshot. Without such documents nothing changes."""
+        held, now = self.documents(), self.revision()
+        goes = F.coalesce(prior, F.lit(False))
+        moved, kept = held.where(goes), held.where(~goes)
+        n_moved, n_kept = held.agg(F.count_if(goes), F.count_if(~goes)).first()
+        if not n_moved:
+            return {"revision": now, "archived": 0, "retained": n_kept, "changed": 0}
+        old = self.archived()
+        moved.select("id", "text", "source").join(old, ["id", "text", "source"], "left_anti").write.mode("append").parquet(f"{self.folder}/archive")
+        # written whole before the old parts go: a failure in between leaves rows twice, never none
+        fresh = f"{self.folder}/next-{now + 1}"
+        kept.write.parquet(fresh)
+        fs, _ = self._fs(fresh)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for r in self.revisions():
+            fs.delete(path(f"{self.folder}/documents/revision={r}"), True)
+        fs.rename(path(fresh), path(f"{self.folder}/documents/revision={now + 1}"))
+        return {"revision": now + 1, "archived": n_moved, "retained": n_kept, "changed": 1}
+
+    def archived(self) -> DataFrame:
+        """The archive's rows (id, text, source)."""
+        fs, place = self._fs(f"{self.folder}/archive")
+        return self.spark.read.parquet(f"{self.folder}/archive") if fs.exists(place) else self.spark.createDataFrame([], "id string, text string, source string")
+
+    def record_query(self, prompt: str, result: str) -> None:
+        """Appends a prompt and its result (JSON) to the history."""
+        if not prompt.strip():
+            raise ValueError("a prompt must contain text")
+        json.loads(result, parse_constant=_no_constant)
+        self.spark.range(1).select(F.lit(prompt).alias("prompt"), F.lit(result).alias("result"), utc_stamp().alias("at")).write.mode("append").parquet(f"{self.folder}/history")
+
+    def relations(self) -> DataFrame:
+        """The relations (subject, predicate, object, source)."""
+        fs, place = self._fs(f"{self.folder}/relations")
+        return self.spark.read.parquet(f"{self.folder}/relations") if fs.exists(place) else self.spark.createDataFrame([], "subject string, predicate string, object string, source string")
+
+    def add_relations(self, triples: DataFrame, *, most_nodes: int | None = None) -> dict[str, int]:
+        """N-3: appends the ``is_a`` triples that aren't held yet; others are an error. ``most_nodes`` bounds the graph."""
+        names = ["subject", "predicate", "object", "source"]
+        bad = " OR ".join(f"{c} IS NULL OR trim({c}) = ''" for c in names)
+        if not triples.where(f"{bad} OR predicate <> 'is_a'").isEmpty():
+            raise ValueError("relations need predicate is_a, and a subject, an object and a source")
+        fresh = triples.select(*names).distinct().join(self.relations(), names, "left_anti")
+        total, added = triples.count(), fresh.count()
+        both = self.relations().unionByName(fresh)
+        if added and most_nodes is not None and both.select("subject").union(both.select("object")).distinct().count() > most_nodes:
+            raise ValueError(f"the graph may have {most_nodes} nodes")
+        if added:
+            fresh.write.mode("append").parquet(f"{self.folder}/relations")
+        return {"added": added, "existing": total - added}
+
+    def conversation(self, session: str) -> tuple[int, str]:
+        """ST4: the revision and state (JSON) of a session; 0 and {} if it is new."""
+        fs, place = self._fs(f"{self.folder}/conversations/{_safe(session)}")
+        done = sorted(int(s.getPath().getName()) for s in fs.listStatus(place)) if fs.exists(place) else []
+        if not done:
+            return 0, "{}"
+        return done[-1], self.spark.read.text(f"{self.folder}/conversations/{_safe(session)}/{done[-1]}", wholetext=True).first()[0]
+
+    def commit_conversation(self, session: str, expected: int, state: str) -> int:
+        """ST4: compare and set. The new revision is a file that only one writer can create; others get a conflict and try again
+        from the latest state."""
+        json.loads(state, parse_constant=_no_constant)
+        now, _ = self.conversation(session)
+        if now != expected:
+            raise RevisionConflict(f"revision {now}, not {expected}")
+        fs, place = self._fs(f"{self.folder}/conversations/{_safe(session)}/{now + 1}")
+        try:
+            out = fs.create(place, False)
+        except Exception as e:
+            raise RevisionConflict(f"revision {now + 1} was written meanwhile") from e
+        out.write(bytearray(state.encode()))
+        out.close()
+        return now + 1
+
     def changes_since(self, revision: int, *, reset_revision: int = 0) -> tuple[int, DataFrame]:
         """F3, ST1: the current revision and the documents added after ``revision``."""
         now = self.revision()
@@ -97,6 +197,32 @@ class DocumentStore:
         return self.documents().where(F.col("sequence") > after).orderBy("sequence").limit(limit)
 
 
+def _safe(session: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", session):
+        raise ValueError("a session id has up to 64 letters, digits, hyphens and underscores")
+    return session
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON value")
+
+
+def utc_stamp(at: Column | None = None) -> Column:
+    """A time as text with milliseconds, in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows whose parent is gone: what a delete must take along."""
+    return rows.where(F.col(key).isNotNull()).join(parents.select(key).distinct(), key, "left_anti")
+
+
+def unpaired_only(documents: DataFrame, *, prior_source: str) -> DataFrame:
+    """The documents that an active corpus must not have: with a prompt, or from a source that begins with ``prior_source``."""
+    paired = F.trim(F.coalesce("prompt", F.lit(""))) != "" if "prompt" in documents.columns else F.lit(False)
+    return documents.where(paired | F.startswith("source", F.lit(prior_source)))
+
+
 def append_split(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Each incoming row marked ``existing`` or ``added`` by (text, source); of equal new rows the first is added."""
     known = existing.select(F.xxhash64("text", "source").alias("k"), F.lit(True).alias("known")).distinct()
