@@ -118,6 +118,19 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1000)
         at = stop
 
 
+def spaced(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words end to end, a space after each, and where each begins (and the end)."""
+    sizes = ends - starts + 1
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    out = np.full(offsets[-1], 32, np.uint8)
+    into = np.ones(offsets[-1], bool)
+    into[offsets[1:] - 1] = False
+    into = np.flatnonzero(into)
+    out[into] = buf[into + np.repeat(starts - offsets[:-1], sizes - 1)]
+    return out, offsets
+
+
 def text_hash(text: str | bytes) -> int:
     """The hash that :meth:`Chunk.hashes` gives one whole text."""
     raw = text.encode() if isinstance(text, str) else text
