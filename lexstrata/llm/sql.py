@@ -66,4 +66,16 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word,
 greatest(coalesce(coverage, 0.0), CASE WHEN b.n > 0 THEN 1.0 ELSE 0.0 END) AS score, span_first, span_last
 FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op3_vectors": VECTORS, "op4_decontaminate": ITEMS, "op6_warc": PAGES, "op7_minmax": SETS, "op8_licenses": LICENSES}
+PHRASES_SQL = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS g FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cut AS (SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+ JOIN f x ON x.lang = c.lang AND x.g = array_to_string(list_slice(c.w, 1, c.k), ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(list_slice(c.w, c.k + 1, c.m), ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, a, unnest(list_concat(list_transform(range(1, m), lambda i: array_to_string(list_slice(w, i, i + 1), ' ')), CASE WHEN m = 4 THEN [array_to_string(list_slice(w, 1, 3), ' '), array_to_string(list_slice(w, 2, 4), ' ')] ELSE [] END)) AS g FROM c WHERE m > 2) GROUP BY lang, g)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.g) AS rank, best.g AS phrase, best.a, l, r, n, score FROM best JOIN n ON n.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g
+WHERE longer.a IS NULL OR 100 * CAST(longer.a AS HUGEINT) < 80 * CAST(best.a AS HUGEINT) QUALIFY rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op3_vectors": VECTORS, "op4_decontaminate": ITEMS, "op6_warc": PAGES, "op7_minmax": SETS, "op8_licenses": LICENSES, "op12_phrases": PHRASES_SQL}
