@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, lm_scoring, minmax, periodic, phrases, pieces, quality, token_rollup, vectors, warc
+from . import decontaminate, langid, licenses, lm_scoring, minmax, periodic, phrases, pieces, quality, token_rollup, toxicity, vectors, warc
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (op1_quality, op2_sentencepiece, op3_vectors, op4_decontaminate, op5_token_counts, op6_warc, op7_minmax, op8_licenses, op9_lm_scoring, op10_langid)
-    found += (op12_phrases, op13_periodic_runs)
+    found += (op11_toxicity, op12_phrases, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
