@@ -11,27 +11,27 @@ from ..sources.shared import stored
 BOS, EOS = "<BOS>", "<EOS>"
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens): compiler tokens, closed by the end token."""
-    return docs.select("doc_id", F.concat(X.compiler_tokens(F.col("text")), F.array(F.lit(EOS))).alias("tokens"))
+def sequences(docs: DataFrame, *by: str) -> DataFrame:
+    """(by..., tokens): compiler tokens, closed by the end token."""
+    return docs.select(*by, F.concat(X.compiler_tokens(F.col("text")), F.array(F.lit(EOS))).alias("tokens"))
 
 
-def transitions(docs: DataFrame, *, order: int = 2) -> DataFrame:
-    """(depth, prefix, target, n) for every prefix of up to ``order`` tokens, padded at the start.
+def transitions(docs: DataFrame, *, order: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """A6, W1, C-4: (by..., depth, prefix, target, n) for every prefix of up to ``order`` tokens, padded at the start; ``by`` names the groups.
 
     Only the full n-grams are counted over the texts, within tasks first; shorter prefixes are summed up
     from those counts, level by level, so the empty prefix gathers no rows.
     """
     names = [f"w{i}" for i in range(order + 1)]
-    padded = sequences(docs).select(F.concat(F.array_repeat(F.lit(BOS), order), F.col("tokens")).alias("p"))
+    padded = sequences(docs, *by).select(*by, F.concat(F.array_repeat(F.lit(BOS), order), F.col("tokens")).alias("p"))
     shifted = [F.slice("p", i + 1, F.size("p") - order) for i in range(order + 1)]
     # stored once: every depth, and the totals of every depth, are sums of these rows
-    level = stored(padded.select(F.inline(F.arrays_zip(*shifted))).toDF(*names).groupBy(*names).agg(F.count("*").alias("n")), "grams")
+    level = stored(padded.select(*by, F.inline(F.arrays_zip(*shifted))).toDF(*by, *names).groupBy(*by, *names).agg(F.count("*").alias("n")), "grams")
     out = None
     for depth in range(order, -1, -1):
         if depth < order:
-            level = level.groupBy(*names[order - depth :]).agg(F.sum("n").alias("n"))
-        rows = level.select(F.lit(depth).alias("depth"), F.concat_ws(" ", *names[order - depth : order]).alias("prefix"), F.col(names[order]).alias("target"), "n")
+            level = level.groupBy(*by, *names[order - depth :]).agg(F.sum("n").alias("n"))
+        rows = level.select(*by, F.lit(depth).alias("depth"), F.concat_ws(" ", *names[order - depth : order]).alias("prefix"), F.col(names[order]).alias("target"), "n")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -1,83 +1,80 @@
-"""The revisioned document store on plain Parquet: append, change feed, archive, audit (D1-D8, F2-F3, J6-J8, ST1, ST3, A1-A2).
+"""The revisioned document store: append, change feed, migration, archive, history, conversations, audit (D1-D8, F2-F3, J6-J8, N-3, ST1, ST3, ST4, A1-A2).
 
-A store is a folder of immutable parts, ``documents/revision=<n>``. A single writer appends; readers
-take all parts up to a revision, so a snapshot never changes under them.
+A store is a folder with a commit log: documents, archive and relations are tables of immutable parts, and a revision is a
+manifest of their parts. A writer that fails, or that another one overtakes, leaves parts that no manifest lists: they are never
+read. The history and each conversation have logs of their own.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT = "id string, text string, source string, sequence long, added_revision long"
-
+from ..sources.commits import CommitLog, RevisionConflict
 
-class RevisionConflict(ValueError):
-    """The store isn't at the revision that the writer expected, or an id has other content."""
+DOCUMENT = "id string, text string, source string, sequence long, added_revision long"
+RELATION = "subject string, predicate string, object string, source string"
+HISTORY = "prompt string, result string, at string, session string, revision long"
+#: Fixed values of the format: most turns and bytes of a view of a conversation's history.
+MOST_TURNS, MOST_VIEW_BYTES = 100, 1_000_000
 
 
 class SnapshotRequired(ValueError):
     """The reader's revision lies before the last reset: it must read a whole snapshot."""
 
 
+def digest() -> Column:
+    """What equal documents share: a digest of text and source, so that no text goes through a shuffle."""
+    return F.sha2(F.concat(F.sha2("text", 256), F.sha2("source", 256)), 256)
+
+
 class DocumentStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+        self.log = CommitLog(spark, self.folder)
+        self.asked = CommitLog(spark, f"{self.folder}/history-log")
 
     def revisions(self) -> list[int]:
-        fs, top = self._fs(f"{self.folder}/documents")
-        if not fs.exists(top):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(top)]
-        done = [int(n.partition("=")[2]) for n in names if n.startswith("revision=") and fs.exists(self._fs(f"{self.folder}/documents/{n}/_SUCCESS")[1])]
-        return sorted(done)
+        return self.log.revisions()
 
     def revision(self) -> int:
         return max(self.revisions(), default=0)
 
     def documents(self, revision: int | None = None) -> DataFrame:
         """the documents of a snapshot."""
-        parts = [r for r in self.revisions() if revision is None or r <= revision]
-        if not parts:
-            return self.spark.createDataFrame([], DOCUMENT)
-        return self.spark.read.schema(DOCUMENT).parquet(*[f"{self.folder}/documents/revision={r}" for r in parts])
+        return self.log.read("documents", DOCUMENT, self.log.latest() if revision is None else self.log.at(revision))
 
     def append(self, batch: DataFrame, *, expected_revision: int | None = None) -> dict[str, int]:
         """Appends the new rows of (id, text, source); the revision rises only if there are any.
 
-        Ids that come with other content, in the batch or in the store, are an error.
+        Of equal texts and sources the first id stays. Ids that come with other content, in the batch or in the store, are an error.
         """
-        now = self.revision()
-        if expected_revision is not None and expected_revision != now:
-            raise RevisionConflict(f"revision {now}, not {expected_revision}")
+        base = self.log.latest()
+        if expected_revision is not None and expected_revision != base.revision:
+            raise RevisionConflict(f"revision {base.revision}, not {expected_revision}")
         rows = batch.select("id", "text", "source")
-        bad = rows.where("id IS NULL OR trim(id) = '' OR text IS NULL OR source IS NULL")
-        if not bad.isEmpty():
+        bad, total = rows.agg(F.count_if(F.expr("id IS NULL OR trim(id) = '' OR text IS NULL OR source IS NULL")), F.count("*")).first()
+        if bad:
             raise ValueError("documents need an id that isn't blank, a text and a source")
-        old = self.documents()
-        own = rows.distinct()
-        clash = own.groupBy("id").count().where("count > 1").select("id").unionByName(own.alias("n").join(old.alias("o"), F.col("n.id") == F.col("o.id")).where("n.text <> o.text OR n.source <> o.source").select("n.id"))
-        if not clash.isEmpty():
+        known = self.log.read("documents", f"{DOCUMENT}, digest string", base).select("id", "digest", "sequence")
+        keyed = rows.withColumn("digest", digest())
+        content = keyed.select("id", "digest").unionByName(known.select("id", "digest").join(keyed.select("id").distinct(), "id", "left_semi"))
+        if not content.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
             raise RevisionConflict("an id comes with other content")
-        once = Window.partitionBy("text", "source").orderBy("id")
-        fresh = own.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
-        fresh = fresh.join(old.select("id"), "id", "left_anti").join(old.select("text", "source"), ["text", "source"], "left_anti").select("id", "text", "source")
-        last = old.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
-        numbered = fresh.withColumn("sequence", F.monotonically_increasing_id() + 1 + last).withColumn("added_revision", F.lit(now + 1).cast("long"))
-        path = f"{self.folder}/documents/revision={now + 1}"
-        total = rows.count()
-        if fresh.isEmpty():
-            return {"revision": now, "added": 0, "existing": total}
-        numbered.write.mode("overwrite").parquet(path)
-        added = self.spark.read.parquet(path).count()
-        return {"revision": now + 1, "added": added, "existing": total - added}
+        first = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known.select("digest"), "digest", "left_anti")
+        last = known.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
+        fresh = keyed.dropDuplicates(["id"]).join(first, ["id", "digest"], "left_semi")
+        numbered = fresh.select("id", "text", "source", (F.monotonically_increasing_id() + 1 + last).alias("sequence"), F.lit(base.revision + 1).cast("long").alias("added_revision"), "digest")
+        part = self.log.write(numbered, "documents")
+        added = self.spark.read.parquet(self.log.path(part)).count()
+        if not added:
+            return {"revision": base.revision, "added": 0, "existing": total}
+        self.log.commit(base, add={"documents": [part]})
+        return {"revision": base.revision + 1, "added": added, "existing": total - added}
 
     def add_one(self, text: str, source: str = "user", document_id: str | None = None) -> str:
         """Appends one document; without an id it gets the first free ``doc-N`` from the count of documents on."""
@@ -86,14 +83,10 @@ class DocumentStore:
         held = self.documents()
         if document_id is None:
             n = held.count() + 1
-            numbers = held.select(F.regexp_extract("id", r"^doc-([1-9]\d{0,17})$", 1).alias("n")).where("n <> ''").select(F.col("n").cast("long").alias("n")).where(F.col("n") >= n)
-            # the first gap: numbers in order that still stand where they would stand without one
-            ranked = numbers.orderBy("n").limit(10_000).collect()
-            for r in ranked:
-                if r["n"] != n:
-                    break
-                n += 1
-            document_id = f"doc-{n}"
+            taken = held.select(F.regexp_extract("id", r"^doc-([1-9]\d{0,17})$", 1).alias("n")).where("n <> ''").select(F.col("n").cast("long").alias("n")).where(F.col("n") >= n).distinct()
+            # the first number that is free: the asked one, or the least successor of a taken one that isn't taken itself
+            ends = taken.select((F.col("n") + 1).alias("n")).unionByName(self.spark.range(n, n + 1).select(F.col("id").alias("n"))).join(taken, "n", "left_anti")
+            document_id = f"doc-{ends.agg(F.min('n')).first()[0]}"
         elif not held.where(F.col("id") == document_id).isEmpty():
             raise ValueError("the id exists already")
         self.append(self.spark.createDataFrame([(document_id, text, source)], "id string, text string, source string"))
@@ -102,99 +95,150 @@ class DocumentStore:
     def migrate(self, prior: Column) -> dict[str, int]:
         """D3: moves the documents for which ``prior`` holds to the archive and starts a new generation of the rest; readers
         before the returned revision must read a snapshot. Without such documents nothing changes."""
-        held, now = self.documents(), self.revision()
+        base = self.log.latest()
+        held = self.log.read("documents", f"{DOCUMENT}, digest string", base)
         goes = F.coalesce(prior, F.lit(False))
-        moved, kept = held.where(goes), held.where(~goes)
         n_moved, n_kept = held.agg(F.count_if(goes), F.count_if(~goes)).first()
         if not n_moved:
-            return {"revision": now, "archived": 0, "retained": n_kept, "changed": 0}
-        old = self.archived()
-        moved.select("id", "text", "source").join(old, ["id", "text", "source"], "left_anti").write.mode("append").parquet(f"{self.folder}/archive")
-        # written whole before the old parts go: a failure in between leaves rows twice, never none
-        fresh = f"{self.folder}/next-{now + 1}"
-        kept.write.parquet(fresh)
-        fs, _ = self._fs(fresh)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for r in self.revisions():
-            fs.delete(path(f"{self.folder}/documents/revision={r}"), True)
-        fs.rename(path(fresh), path(f"{self.folder}/documents/revision={now + 1}"))
-        return {"revision": now + 1, "archived": n_moved, "retained": n_kept, "changed": 1}
+            return {"revision": base.revision, "archived": 0, "retained": n_kept, "changed": 0}
+        old = self._archived(base).select("id", "digest")
+        gone = self.log.write(held.where(goes).select("id", "text", "source", "digest").join(old, ["id", "digest"], "left_anti"), "archive")
+        kept = self.log.write(held.where(~goes), "documents")
+        done = self.log.commit(base, add={"archive": [gone]}, replace={"documents": [kept]}, reset=True)
+        return {"revision": done.revision, "archived": n_moved, "retained": n_kept, "changed": 1}
+
+    def _archived(self, commit) -> DataFrame:
+        return self.log.read("archive", "id string, text string, source string, digest string", commit)
 
     def archived(self) -> DataFrame:
-        """The archive's rows (id, text, source)."""
-        fs, place = self._fs(f"{self.folder}/archive")
-        return self.spark.read.parquet(f"{self.folder}/archive") if fs.exists(place) else self.spark.createDataFrame([], "id string, text string, source string")
+        """The archive's rows (id, text, source), in order of id."""
+        return self._archived(self.log.latest()).select("id", "text", "source").orderBy("id", "text", "source")
 
-    def record_query(self, prompt: str, result: str) -> None:
-        """Appends a prompt and its result (JSON) to the history."""
+    def record_query(self, prompt: str, result: str, *, session: str | None = None, revision: int | None = None) -> None:
+        """Appends a prompt and its result (JSON) to the history. Writers that overtake each other try again: the order of
+        the history is that of its commits."""
         if not prompt.strip():
             raise ValueError("a prompt must contain text")
         json.loads(result, parse_constant=_no_constant)
-        self.spark.range(1).select(F.lit(prompt).alias("prompt"), F.lit(result).alias("result"), utc_stamp().alias("at")).write.mode("append").parquet(f"{self.folder}/history")
+        row = self.spark.range(1).select(F.lit(prompt).alias("prompt"), F.lit(result).alias("result"), utc_stamp().alias("at"), F.lit(session).cast("string").alias("session"), F.lit(revision).cast("long").alias("revision"))
+        part = self.asked.write(row, "history")
+        retried(lambda: self.asked.commit(self.asked.latest(), add={"history": [part]}))
+
+    def history(self) -> DataFrame:
+        """All recorded prompts."""
+        return self.asked.read("history", HISTORY)
 
     def relations(self) -> DataFrame:
-        """The relations (subject, predicate, object, source)."""
-        fs, place = self._fs(f"{self.folder}/relations")
-        return self.spark.read.parquet(f"{self.folder}/relations") if fs.exists(place) else self.spark.createDataFrame([], "subject string, predicate string, object string, source string")
+        """The relations (subject, predicate, object, source), in order."""
+        return self.log.read("relations", RELATION).orderBy("subject", "object", "source")
 
     def add_relations(self, triples: DataFrame, *, most_nodes: int | None = None) -> dict[str, int]:
-        """N-3: appends the ``is_a`` triples that aren't held yet; others are an error. ``most_nodes`` bounds the graph."""
+        """N-3: appends the ``is_a`` triples that aren't held yet, as a revision of the store; others are an error. ``most_nodes``
+        bounds the graph."""
         names = ["subject", "predicate", "object", "source"]
         bad = " OR ".join(f"{c} IS NULL OR trim({c}) = ''" for c in names)
-        if not triples.where(f"{bad} OR predicate <> 'is_a'").isEmpty():
+        total, wrong = triples.agg(F.count("*"), F.count_if(F.expr(f"{bad} OR coalesce(predicate, '') <> 'is_a'"))).first()
+        if wrong:
             raise ValueError("relations need predicate is_a, and a subject, an object and a source")
-        fresh = triples.select(*names).distinct().join(self.relations(), names, "left_anti")
-        total, added = triples.count(), fresh.count()
-        both = self.relations().unionByName(fresh)
-        if added and most_nodes is not None and both.select("subject").union(both.select("object")).distinct().count() > most_nodes:
+        base = self.log.latest()
+        held = self.log.read("relations", RELATION, base)
+        part = self.log.write(triples.select(*names).distinct().join(held, names, "left_anti"), "relations")
+        fresh = self.spark.read.schema(RELATION).parquet(self.log.path(part))
+        added = fresh.count()
+        if not added:
+            return {"revision": base.revision, "added": 0, "existing": total}
+        both = held.unionByName(fresh)
+        if most_nodes is not None and both.select("subject").union(both.select("object")).distinct().count() > most_nodes:
             raise ValueError(f"the graph may have {most_nodes} nodes")
-        if added:
-            fresh.write.mode("append").parquet(f"{self.folder}/relations")
-        return {"added": added, "existing": total - added}
+        done = self.log.commit(base, add={"relations": [part]})
+        return {"revision": done.revision, "added": added, "existing": total - added}
+
+    def _session(self, session: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.folder}/conversations/{_safe(session)}")
 
     def conversation(self, session: str) -> tuple[int, str]:
         """ST4: the revision and state (JSON) of a session; 0 and {} if it is new."""
-        fs, place = self._fs(f"{self.folder}/conversations/{_safe(session)}")
-        done = sorted(int(s.getPath().getName()) for s in fs.listStatus(place)) if fs.exists(place) else []
-        if not done:
-            return 0, "{}"
-        return done[-1], self.spark.read.text(f"{self.folder}/conversations/{_safe(session)}/{done[-1]}", wholetext=True).first()[0]
-
-    def commit_conversation(self, session: str, expected: int, state: str) -> int:
-        """ST4: compare and set. The new revision is a file that only one writer can create; others get a conflict and try again
-        from the latest state."""
-        json.loads(state, parse_constant=_no_constant)
-        now, _ = self.conversation(session)
-        if now != expected:
-            raise RevisionConflict(f"revision {now}, not {expected}")
-        fs, place = self._fs(f"{self.folder}/conversations/{_safe(session)}/{now + 1}")
-        try:
-            out = fs.create(place, False)
-        except Exception as e:
-            raise RevisionConflict(f"revision {now + 1} was written meanwhile") from e
-        out.write(bytearray(state.encode()))
-        out.close()
-        return now + 1
+        now = self._session(session).latest()
+        return now.revision, now.properties.get("state", "{}")
+
+    def commit_conversation(self, session: str, expected: int, state: str, *, prompt: str | None = None, result: str = "{}") -> int:
+        """ST4: compare and set. State, prompt and result of a turn are one manifest, whole when it appears; of several writers
+        one makes the revision, the others get a conflict and try again from the latest state (see :meth:`turn`)."""
+        for text in (state, result):
+            json.loads(text, parse_constant=_no_constant)
+        log = self._session(session)
+        base = log.latest()
+        if base.revision != expected:
+            raise RevisionConflict(f"revision {base.revision}, not {expected}")
+        at = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+        return log.commit(base, properties={"state": state, "prompt": prompt, "result": result, "at": at}).revision
+
+    def turn(self, session: str, prompt: str, answer, *, attempts: int = 5) -> int:
+        """ST4: a turn with retries: ``answer(prompt, state)`` gives (result, state) as JSON and is asked again from the latest
+        state after each conflict."""
+
+        def once() -> int:
+            revision, state = self.conversation(session)
+            result, state = answer(prompt, state)
+            return self.commit_conversation(session, revision, state, prompt=prompt, result=result)
+
+        return retried(once, attempts)
+
+    def conversation_history(self, session: str, limit: int = MOST_TURNS) -> dict:
+        """ST4: the newest turns of a session, oldest first; at most ``limit``, and as many as fit the view."""
+        if not 1 <= limit <= MOST_TURNS:
+            raise ValueError(f"limit must be between 1 and {MOST_TURNS}")
+        log = self._session(session)
+        revisions, turns, size = log.revisions(), [], 0
+        for r in reversed(revisions[-limit:]):
+            p = log.at(r).properties
+            turn = {"revision": r, "prompt": p.get("prompt"), "result": p.get("result"), "at": p.get("at")}
+            size += len(json.dumps(turn, ensure_ascii=False).encode())
+            if size > MOST_VIEW_BYTES:
+                break
+            turns.insert(0, turn)
+        return {"session": session, "revision": max(revisions, default=0), "turns": turns, "truncated": len(turns) < len(revisions)}
 
     def changes_since(self, revision: int, *, reset_revision: int = 0) -> tuple[int, DataFrame]:
-        """F3, ST1: the current revision and the documents added after ``revision``."""
-        now = self.revision()
-        if revision > now:
-            raise RevisionConflict(f"revision {revision} is ahead of {now}")
-        if revision < reset_revision:
-            raise SnapshotRequired(f"read a snapshot at {reset_revision} first")
-        return now, self.documents().where(F.col("added_revision") > revision)
+        """F3, ST1: the current revision and the documents added after ``revision``, both of one snapshot. After a reset (the
+        store's own, or a later one that the reader knows of), readers of earlier revisions must read a snapshot."""
+        now = self.log.latest()
+        if revision < 0:
+            raise ValueError("a revision isn't negative")
+        if revision < (reset := max(now.reset, reset_revision)):
+            raise SnapshotRequired(f"read a snapshot at {reset} first")
+        if revision > now.revision:
+            raise RevisionConflict(f"revision {revision} is ahead of {now.revision}")
+        return now.revision, self.log.read("documents", DOCUMENT, now).where(F.col("added_revision") > revision)
 
     def statistics(self) -> DataFrame:
         """A1, A2: documents, bytes of text and the lower bound of a dense form."""
         d = self.documents()
         return d.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max("added_revision"), F.lit(0)).alias("revision"))
 
-    def page(self, after: int, limit: int) -> DataFrame:
-        """IO15: the next rows by sequence (keyset paging)."""
+    def page(self, after: int = 0, limit: int = 50, *, before: int | None = None, expected_revision: int | None = None) -> DataFrame:
+        """IO15: a page by sequence (keyset paging): the next rows after one, or the last rows before one; in order. With
+        ``expected_revision`` a conflict if the store has moved on since the first page."""
         if not 1 <= limit <= 200:
             raise ValueError("limit must be between 1 and 200")
-        return self.documents().where(F.col("sequence") > after).orderBy("sequence").limit(limit)
+        now = self.log.latest()
+        if expected_revision is not None and expected_revision != now.revision:
+            raise RevisionConflict(f"revision {now.revision}, not {expected_revision}")
+        held = self.log.read("documents", DOCUMENT, now)
+        if before is not None:
+            return held.where(F.col("sequence") < before).orderBy(F.desc("sequence")).limit(limit).orderBy("sequence")
+        return held.where(F.col("sequence") > after).orderBy("sequence").limit(limit)
+
+
+def retried(work, attempts: int = 20):
+    """``work`` again after each conflict, at most ``attempts`` times in all."""
+    for k in range(attempts):
+        try:
+            return work()
+        except RevisionConflict:
+            if k + 1 == attempts:
+                raise
+            time.sleep(0.01 * 2 ** min(k, 6))
 
 
 def _safe(session: str) -> str:

@@ -29,4 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of :func:`stored` that nothing reads any more."""
+    for table in tables:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

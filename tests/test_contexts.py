@@ -136,7 +136,7 @@ def test_store_mutations(spark):
         held.changes_since(before, reset_revision=moved["revision"])
     triple = "subject string, predicate string, object string, source string"
     assert held.add_relations(spark.createDataFrame([("a", "is_a", "b", "s"), ("a", "is_a", "b", "s")], triple))["added"] == 1
-    assert held.add_relations(spark.createDataFrame([("a", "is_a", "b", "s")], triple)) == {"added": 0, "existing": 1}
+    assert held.add_relations(spark.createDataFrame([("a", "is_a", "b", "s")], triple)) == {"revision": before + 2, "added": 0, "existing": 1}
     with pytest.raises(ValueError):
         held.add_relations(spark.createDataFrame([("a", "part_of", "b", "s")], triple))
     assert held.commit_conversation("s-1", 0, '{"turn": 1}') == 1 and held.conversation("s-1") == (1, '{"turn": 1}')
