@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answering, contexts, corpus, models, text_search  # noqa: F401 - they register their queries
+from .plans import answering, contexts, corpus, generation, models, text_search  # noqa: F401 - they register their queries
 from .plans.registered import QUERIES, SQL, Query
 
 

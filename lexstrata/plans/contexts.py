@@ -234,11 +234,18 @@ def inference_proofs(spark: SparkSession, folder: str) -> DataFrame:
     return G.infer(G.edges(triples), asked).unionByName(G.infer(G.edges(triples), asked, max_hops=1))
 
 
-@query()
+@query("""WITH d AS (SELECT DISTINCT text, coalesce(source, 'none') AS source FROM documents WHERE text IS NOT NULL), r AS (SELECT DISTINCT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(4 AS BIGINT) AS revision, count(*) FILTER (WHERE starts_with(source, 'src1')) AS archived, count(*) FILTER (WHERE NOT starts_with(source, 'src1')) + 1 AS retained, CAST(0 AS BIGINT) AS left_over, CAST(1 AS BIGINT) AS asked, (SELECT count(*) FROM r) AS relations FROM d""")
 def store_migration(spark: SparkSession, folder: str) -> DataFrame:
-    """D3, D4, N-3, Y5, Y16: a store that is filled, added to, and parted from the documents of one source."""
+    """D3, D4, N-3, Y5, Y16: a store that is filled, added to, given relations and a question, and parted from the documents of
+    some sources; from its commit log."""
     store = D.DocumentStore(spark, fresh_path(spark, "store"))
     store.append(table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), "text", F.coalesce("source", F.lit("none")).alias("source")))
     store.add_one("one more document", "user")
-    moved = store.migrate(F.startswith("source", F.lit("src1")))
-    return spark.createDataFrame([(moved["revision"], moved["archived"], moved["retained"], D.unpaired_only(store.documents(), prior_source="src1").count())], "revision long, archived long, retained long, left_over long")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    store.add_relations(nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("subject"), F.lit("is_a").alias("predicate"), F.col("r_name").alias("object"), F.lit("nation").alias("source")))
+    store.record_query("How many?", '{"answer": 1}')
+    store.migrate(F.startswith("source", F.lit("src1")))
+    now, _ = store.changes_since(store.revision())
+    counts = [store.archived().count(), store.documents().count(), D.unpaired_only(store.documents(), prior_source="src1").count(), store.history().count(), store.relations().count()]
+    return spark.createDataFrame([(now, *counts)], "revision long, archived long, retained long, left_over long, asked long, relations long")
