@@ -117,8 +117,7 @@ def composed_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def sentence_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """Where sentences stand in each document, and how many a reader would speak."""
-    spoken = X.spoken_sentences()
-    return table(spark, folder, "documents").select("doc_id", X.sentence_spans(F.col("text")).alias("spans"), F.size(spoken(F.col("text"))).alias("spoken"))
+    return table(spark, folder, "documents").select("doc_id", X.sentence_spans(F.col("text")).alias("spans"), F.size(X.spoken_sentences(F.col("text"))).alias("spoken"))
 
 
 @query()

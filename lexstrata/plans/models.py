@@ -160,10 +160,10 @@ def trigram_loops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _RL = lambda x, p: f"regexp_matches({x}, '{p}')"
-_COUNT = lambda x: f"len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'))"
+_COUNT = lambda x: f"len(string_split({x}, ' '))"
 
 
-@query(f"""SELECT conv_id, turn, {L.kind_sql("p", _RL, _COUNT)} AS kind FROM (SELECT conv_id, turn, lower(trim(regexp_replace(trim(text), '[?!. ]+$', ''))) AS p FROM conversations)""")
+@query(f"""SELECT conv_id, turn, {L.kind_sql("p", _RL, _COUNT)} AS kind FROM (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), ' ') AS p FROM conversations)""")
 def intent_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """L1, L2."""
     return L.with_kind(table(spark, folder, "conversations")).select("conv_id", "turn", "kind")

@@ -21,11 +21,11 @@ def values(spark, column, *texts):
 
 
 def test_splitters_and_rendering(spark):
-    spoken = X.spoken_sentences()
-    assert values(spark, spoken, "Das ist z. B. gut. Am 14. April war es kalt! Ende", None)[0] == ["Das ist z. B. gut.", "Am 14. April war es kalt!", "Ende"]
+    assert values(spark, X.spoken_sentences, "Das ist z. B. gut. Am 14. April war es kalt! Ende", None)[0] == ["Das ist z. B. gut.", "Am 14. April war es kalt!", "Ende"]
     text = 'Er kam um 3. Dann ging er.\n\n"Halt!" rief sie. u. a. dort'
     (spans,) = values(spark, X.sentence_spans, text)
     assert [text[s["start"] : s["end"]] for s in spans] == ["Er kam um 3. Dann ging er.", '"Halt!"', "rief sie.", "u. a. dort"]
+    assert values(spark, X.sentence_spans, "", None, " \n ") == [[], None, []]
     words = spark.createDataFrame([(["<BOS>", "der", "wert", "(", "etwa", "3", ".", "grad", ")", "steigt", ".", "danach", "nicht", "<EOS>"],)], "w array<string>")
     assert words.select(X.rendered("w")).first()[0] == "Der wert (etwa 3. grad) steigt. Danach nicht"
     assert values(spark, X.surface_words, "Der Baum, der baum und das Haus") == [["baum", "haus"]]

@@ -38,13 +38,20 @@ def test_tokens(spark):
     assert value(spark, X.nfkc(F.lit("ﬁ ①"))) == "fi 1"
 
 
-@pytest.mark.parametrize(("prompt", "kind"), [("", "leer"), ("Hallo du", "begruessung"), ("Vielen Dank, danke!", "dank"), ("Wie alt bist du?", "selbstauskunft"), ("Wie heißt du?", "name"), ("Wie geht es dir?", "befinden"), ("Was ist der Unterschied zwischen A und B?", "vergleich"), ("Wann war das?", "zeit"), ("Warum ist das so?", "ursache"), ("Wer war Ohm?", "person"), ("Was ist eine Frequenz?", "definition"), ("Frequenz", "stichwort"), ("Übersetze den Satz", "auftrag"), ("Nenne drei Flüsse", "liste"), ("Kann Wasser brennen?", "entscheidung"), ("Erkläre die Schwerkraft", "erklaerung")])
+@pytest.mark.parametrize(("prompt", "kind"), [("", "leer"), ("Hallo du", "begruessung"), ("Vielen Dank, danke!", "dank"), ("Tschüss dann", "abschied"), ("Auf Wiedersehen!", "abschied"), ("Stell dich doch bitte vor, wer bist denn du", "selbstbeschreibung"), ("Kannst du hören?", "fahigkeit"), ("Fasse den Text zusammen", "zusammenfassung"), ("Gib dir Zeit", "selbstauskunft"), ("Dann kommt sie später nach Hause", "folgebegriff"), ("Der Fluss ist sehr tief und kalt im Winter gewesen", "aussage"), ("Welche Farbe hat das Meer", "definition"), ("Hiob kommt gleich zurück in die Stadt", "aussage"), (None, "leer"), ("Wie alt bist du?", "selbstauskunft"), ("Wie heißt du?", "name"), ("Wie geht es dir?", "befinden"), ("Was ist der Unterschied zwischen A und B?", "vergleich"), ("Wann war das?", "zeit"), ("Warum ist das so?", "ursache"), ("Wer war Ohm?", "person"), ("Was ist eine Frequenz?", "definition"), ("Frequenz", "stichwort"), ("Übersetze den Satz", "auftrag"), ("Nenne drei Flüsse", "liste"), ("Kann Wasser brennen?", "entscheidung"), ("Erkläre die Schwerkraft", "erklaerung")])
 def test_intents(spark, prompt, kind):
     assert L.with_kind(spark.createDataFrame([(prompt,)], "text string")).first()["kind"] == kind
 
 
 def test_targets_and_assertions(spark):
-    assert value(spark, L.target(F.lit("Bitte, was ist die Frequenz?"))) == "Frequenz"
+    targets = {
+        "Bitte, was ist die Frequenz?": "Frequenz", "Okay, also kannst du mir mal erklären, was eine Welle ist?": "Welle ist", "Wie funktioniert ein Motor": "funktioniert ein Motor",
+        "Was?": "Was", "Nenne mir bitte die Flüsse Europas.": "Flüsse Europas", "Frequenz": "Frequenz", "Die Alpen": "Alpen",
+    }
+    assert {t: value(spark, L.target(F.lit(t))) for t in targets} == targets
+    assert value(spark, L.modifiers(F.lit("Was ist Kraft in der Physik, und was aus dem Jahr 1921?"))) == ["in der physik", "aus dem jahr 1921"]
+    assert value(spark, L.sub_questions(F.lit("Kraft und Masse"))) == []
+    assert value(spark, L.topics(F.lit("Wie alt bist du, und träumst du auch?"))) == ["Alter", "Träume"]
     assert value(spark, L.sub_questions(F.lit("Definition der Kraft und Einheit der Masse"))) == ["Definition der Kraft", "Einheit der Masse"]
     assert [tuple(x) for x in value(spark, conversations.assertions(F.lit("Mein Name ist Anna. Ich mag Tee.")))] == [("name", "Anna"), ("preference", "Tee")]
 
