@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import retrieval as R
+from .index import TextIndex, index_of
 
 
 def plain(text: Column) -> Column:
@@ -39,27 +40,40 @@ def overlap_ranking(docs: DataFrame, prompt: str, *, k: int = 10) -> DataFrame:
     return docs.select("doc_id", (shared + bonus).alias("value")).where("value > 0").orderBy(F.desc("value"), "doc_id").limit(k)
 
 
-def planned_ranking(docs: DataFrame, plans: list[list[str]], *, limit: int = 12) -> DataFrame:
+def chosen(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """The rows of a few documents: the ids stand in the plan, so the scan skips what can't hold them."""
+    return docs.where(F.col("doc_id").isin(*ids)) if ids else docs.where("false")
+
+
+def planned_ranking(docs: DataFrame, plans: list[list[str]], *, limit: int = 12, index: TextIndex | None = None) -> DataFrame:
     """Q9: documents of plans from narrow to wide; each plan adds what it finds until half the limit (six at least) is there.
 
-    The value is a quarter of the BM25 score, 3.2 more for terms in the title and 1.1 for all terms; the best value of a document counts.
+    The value is a quarter of the BM25 score, 3.2 more for terms in the title and 1.1 for all terms; the best value of a document
+    counts. The index finds a plan's documents (24 at most); only their texts are read.
     """
-    found: DataFrame | None = None
+    index, found = index or index_of(docs), {}
     for terms in plans:
-        top = R.bm25_topk(docs, " ".join(terms), k=24).groupBy("doc_id").agg(F.max("bm25").alias("bm25"))
-        w = docs.select("doc_id", X.all_words(plain(F.col("text"))).alias("w"), X.all_words(plain(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("t"))
-        rows = w.join(F.broadcast(top), "doc_id").select("doc_id", (0.25 * F.col("bm25") + F.when(matches(F.col("t"), any_of=terms), 3.2).otherwise(0.0) + F.when(matches(F.col("w"), all_of=terms), 1.1).otherwise(0.0)).alias("value"))
-        found = rows if found is None else found.unionByName(rows)
-        found = found.groupBy("doc_id").agg(F.max("value").alias("value"))
-        if found.count() >= max(6, limit // 2):
+        best: dict[int, float] = {}
+        for r in index.bm25_topk(" ".join(terms), k=24).collect():
+            best[r["doc_id"]] = max(best.get(r["doc_id"], 0.0), r["bm25"])
+        words = X.all_words(plain(F.col("text")))
+        titled = matches(X.all_words(plain(F.split_part("text", F.lit("\n"), F.lit(1)))), any_of=terms)
+        for r in chosen(docs, sorted(best)).select("doc_id", titled.alias("titled"), matches(words, all_of=terms).alias("whole")).collect():
+            value = 0.25 * best[r["doc_id"]] + (3.2 if r["titled"] else 0.0) + (1.1 if r["whole"] else 0.0)
+            found[r["doc_id"]] = max(found.get(r["doc_id"], value), value)
+        if len(found) >= max(6, limit // 2):
             break
-    return found.orderBy(F.desc("value"), "doc_id").limit(limit)
+    rows = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:limit]
+    return docs.sparkSession.createDataFrame(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, value double")
 
 
-def working_set(docs: DataFrame, prompt: str, *, budget: int = 120_000) -> DataFrame:
-    """The best passages of a prompt within a budget of characters; the first that overflows ends the set."""
-    top = R.bm25_topk(docs, prompt)
-    rows = top.join(R.passages(docs), ["doc_id", "passage"])
+def working_set(docs: DataFrame, prompt: str, *, budget: int = 120_000, index: TextIndex | None = None) -> DataFrame:
+    """The best passages of a prompt within a budget of characters; the first that overflows ends the set. The index
+    names them (24 at most); only their documents are read."""
+    top = (index or index_of(docs)).bm25_topk(prompt)
+    best = top.collect()
+    few = docs.sparkSession.createDataFrame(best, top.schema)
+    rows = few.join(R.passages(chosen(docs, sorted({r["doc_id"] for r in best}))), ["doc_id", "passage"])
     return R.budgeted(rows.withColumn("one", F.lit(1)), order=[F.desc("bm25"), F.col("doc_id"), F.col("passage")], size=F.length("body") + F.length("title") + 2, budget=budget, group=["one"]).drop("one")
 
 
@@ -80,20 +94,21 @@ def echo_share(answer: Column, prompt: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
 
 
-def compose(docs: DataFrame, prompt: str, *, documents: int = 10, sentences: int = 8, limit: int = 3, most_chars: int = 620) -> DataFrame:
+def compose(docs: DataFrame, prompt: str, *, documents: int = 10, sentences: int = 8, limit: int = 3, most_chars: int = 620, index: TextIndex | None = None) -> DataFrame:
     """Q15: the sentences of an answer, in order, with its level of confidence.
 
-    Candidates come from the best documents (``sentences`` each); they are scored, chosen to differ, and cut to the length.
+    Candidates come from the best documents that the index names (``sentences`` each); they are scored, chosen to differ, and cut
+    to the length. Only those documents are read.
     """
-    best = R.bm25_topk(docs, prompt, k=documents).select("doc_id").distinct()
-    scored = R.sentence_features(docs.join(F.broadcast(best), "doc_id", "left_semi"), prompt).where(F.length("sentence").between(25, 430))
+    best = sorted({r["doc_id"] for r in (index or index_of(docs)).bm25_topk(prompt, k=documents).collect()})
+    scored = R.sentence_features(chosen(docs, best), prompt).where(F.length("sentence").between(25, 430))
     by = Window.partitionBy("doc_id").orderBy("position")
     rows = scored.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sentences)
     slots = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(X.term_set(F.col("sentence")), lambda w: F.pmod(F.xxhash64(w), F.lit(64)) == i)).cast("double"))
     pool = rows.select(F.lit(1).alias("one"), F.struct("doc_id", "position").alias("key"), "score", slots.alias("vector"), "sentence").withColumn("id", F.col("key.doc_id") * 100_000 + F.col("key.position"))
     picks = R.mmr_select(pool.select("one", "id", "score", "vector"), group="one", limit=limit)
-    chosen = picks.join(pool.select("id", "sentence", "score"), "id")
-    kept = R.budgeted(chosen, order=[F.col("pick")], size=F.length("sentence") + 1, budget=most_chars, group=["one"])
+    spoken = picks.join(pool.select("id", "sentence", "score"), "id")
+    kept = R.budgeted(spoken, order=[F.col("pick")], size=F.length("sentence") + 1, budget=most_chars, group=["one"])
     return kept.select("pick", X.finished(F.col("sentence")).alias("sentence"), "score", R.confidence(F.col("score")).alias("confidence"))
 
 

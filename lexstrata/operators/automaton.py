@@ -97,7 +97,7 @@ def decode_roles(grammar: DataFrame, roles: DataFrame, evidence: DataFrame, fiel
         raise ValueError("width must be 1 to 16 and steps 1 to 256")
     lanes, gate = stored(lanes_of(grammar, roles), "lanes"), stored(gates(evidence, roles), "gates")
     none = F.array().cast("array<string>")
-    beams = stored(grammar.select("prompt_id").distinct().select("prompt_id", F.lit(1).cast("long").alias("state"), none.alias("tokens"), none.alias("shown"), F.lit(0.0).alias("score"), F.lit(False).alias("ended")), "beams")
+    kept = beams = stored(grammar.select("prompt_id").distinct().select("prompt_id", F.lit(1).cast("long").alias("state"), none.alias("tokens"), none.alias("shown"), F.lit(0.0).alias("score"), F.lit(False).alias("ended")), "beams")
     frontier = stored(start(beams, lanes), "frontier")
     top = Window.partitionBy(*STATE).orderBy(F.desc("probability"), "target")
     best = Window.partitionBy("prompt_id").orderBy(F.desc(F.round("score", 12)), "tokens")
@@ -118,13 +118,13 @@ def decode_roles(grammar: DataFrame, roles: DataFrame, evidence: DataFrame, fiel
         )
         rest = beams.where("ended").select("prompt_id", F.lit(None).cast("long").alias("before"), F.lit(None).cast("string").alias("token"), "tokens", "shown", "score", "ended")
         ranked = stored(grown.unionByName(rest).withColumn("state", F.row_number().over(best).cast("long")).where(F.col("state") <= width), "ranked")
-        last, beams = beams, stored(ranked.select("prompt_id", "state", "tokens", "shown", "score", "ended"), "beams")
+        last, beams, kept = kept, ranked.select("prompt_id", "state", "tokens", "shown", "score", "ended"), ranked
         open_ = ranked.where("NOT ended").select("prompt_id", F.col("before").alias("state"), "token", F.col("state").alias("following"))
         done = open_.isEmpty()
         if not done:
             previous, frontier = frontier, stored(stepped(frontier, open_, lanes), "frontier")
             dropped(previous)
-        dropped(ranked, last)
+        dropped(last)
         if done:
             break
     final = Window.partitionBy("prompt_id").orderBy(F.desc("ended"), "state")

@@ -31,39 +31,11 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def idf_weights(docs: DataFrame) -> DataFrame:
-    """(term, df, weight) with weight 1 + ln((1 + N) / (1 + df))."""
-    n = docs.count()
-    return document_frequency(docs).select("term", "df", (1 + F.log((F.lit(1.0 + n)) / (1 + F.col("df")))).alias("weight"))
-
-
 def query_terms(docs: DataFrame, prompt: str) -> DataFrame:
     """The distinct terms of a prompt as rows: a few dozen at most."""
     return docs.sparkSession.range(1).select(F.explode(F.array_distinct(X.search_tokens(F.lit(prompt)))).alias("term"))
 
 
-def coverage_topk(docs: DataFrame, prompt: str, *, k: int = 20, least: float = 0.6) -> DataFrame:
-    """Documents by the weighted share of the prompt's terms they hold, ``least`` at least; ties by id."""
-    asked = F.broadcast(query_terms(docs, prompt))
-    held = docs.select("doc_id", F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("term")).join(asked, "term")
-    n = docs.count()
-    weights = query_terms(docs, prompt).join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", (1 + F.log(F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0))))).alias("weight"))
-    whole = weights.agg(F.sum("weight").alias("whole"))
-    score = held.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.sum("weight").alias("got")).join(F.broadcast(whole)).select("doc_id", F.round(F.col("got") / F.col("whole"), 6).alias("coverage"))
-    return score.where(F.col("coverage") >= least).orderBy(F.desc("coverage"), "doc_id").limit(k)
-
-
-def tf_cosine_topk(docs: DataFrame, doc_id: int, *, k: int = 20) -> DataFrame:
-    """Nearest documents of one document by cosine of log term frequencies (a sparse dot product)."""
-    weighted = postings(docs).select("doc_id", "term", (1 + F.log("tf")).alias("w"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = weighted.where(F.col("doc_id") == doc_id).select("term", F.col("w").alias("q"))
-    dots = weighted.join(F.broadcast(asked), "term").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    own = norms.where(F.col("doc_id") == doc_id).select(F.col("norm").alias("own"))
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score")
-    return dots.join(norms, "doc_id").join(F.broadcast(own)).where(F.col("doc_id") != doc_id).select("doc_id", score).orderBy(F.desc("score"), "doc_id").limit(k)
-
-
 def embedding_scores(vectors: DataFrame, vec_id: int) -> DataFrame:
     """Every other row of ``vectors`` with ``score``, the cosine to one vector in double precision."""
     v = F.col("embedding").cast("array<double>")
@@ -142,26 +114,6 @@ def passages(docs: DataFrame, width: int = 4000) -> DataFrame:
     return docs.select("doc_id", title.alias("title"), F.posexplode(X.passages(F.col("text"), width)).alias("passage", "body"))
 
 
-def bm25_topk(docs: DataFrame, prompt: str, *, k: int = 24, title_weight: float = 8.0) -> DataFrame:
-    """Q4-Q6, K2: passages by BM25 over title and body, titles weighted; ties by document and passage.
-
-    One scan gives lengths and the frequencies of the queried terms; only passages that hold a term are
-    aggregated further.
-    """
-    asked = [r["term"] for r in query_terms(docs, prompt).orderBy("term").limit(64).collect()]
-    words = lambda c: X.all_words(X.folded(F.col(c)))
-    count = lambda c, t: F.size(F.filter(F.col(c), lambda w: w == t))
-    cut = passages(docs).select("doc_id", "passage", words("title").alias("a"), words("body").alias("b"))
-    freq = F.array(*[F.struct(F.lit(t).alias("term"), (title_weight * count("a", t) + count("b", t)).alias("tf"), (count("a", t) + count("b", t)).alias("raw")) for t in asked])
-    scored = cut.select("doc_id", "passage", (F.size("a") + F.size("b")).alias("length"), freq.alias("f"))
-    df = [F.sum(F.when(F.col("f")[i]["raw"] > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(asked))]
-    stats = scored.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *df)
-    idf = [F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6)) for i in range(len(asked))]
-    part = [idf[i] * F.col("f")[i]["tf"] * (BM25_K1 + 1) / (F.col("f")[i]["tf"] + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean"))) for i in range(len(asked))]
-    hits = scored.where(F.exists("f", lambda x: x["raw"] > 0)).join(F.broadcast(stats))
-    return hits.select("doc_id", "passage", F.round(sum(part, F.lit(0.0)), 5).alias("bm25")).orderBy(F.desc("bm25"), "doc_id", "passage").limit(k)
-
-
 def sentence_features(docs: DataFrame, target: str) -> DataFrame:
     """Q11, Q13: the linguistic part of a sentence's score (coverage, lede, length and tautology terms)."""
     wanted = X.term_set(F.lit(target))
