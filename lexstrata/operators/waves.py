@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE_HZ = 30.0
 
@@ -27,7 +28,7 @@ def byte_values(text: Column) -> Column:
 _SQUARES = (2 * np.arange(256, dtype=np.int64) - 255) ** 2
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def byte_energy(text: pa.Array) -> pa.Array:
     """The summed squared coefficients of the text's code; by Parseval's theorem that of its bytes, added up for a whole
     batch at once and exactly. An empty text is one zero byte."""
