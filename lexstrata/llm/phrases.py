@@ -56,8 +56,9 @@ class Words:
         low = bt.Chunk(chunk.first, self.buf, chunk.offsets)
         self.starts, self.ends, self.row = low.words(_WORD)
         of_language = {x: bt.text_hash(x) for x in set(languages)}
+        # mixed once more than words are: a sum of like hashes would take `es` in `en` for `en` in `es`
         salt = np.array([of_language[x] for x in languages], np.uint64)
-        self.keys = bt.mix(low.hashes(self.starts, self.ends) + salt[self.row])
+        self.keys = bt.mix(low.hashes(self.starts, self.ends) + bt.mix(salt + np.uint64(1))[self.row])
         breaks = np.cumsum(_BREAK[self.buf])
         self.follows = np.zeros(len(self.starts), bool)
         if len(self.starts) > 1:

@@ -79,3 +79,9 @@ def test_query_equals_sql(spark):
     names = [d[0] for d in cursor.description]
     got = queries()["op12_phrases"](spark, SF).select(*names)
     assert sorted(tuple(r) for r in got.collect()) == sorted(cursor.fetchall())
+
+
+def test_words_that_are_named_like_languages(spark):
+    docs = [(i, "es de x", "en") for i in range(30)] + [(100 + i, "en de x", "es") for i in range(40)] + [(200 + i, "es en x", "de") for i in range(50)]
+    got = phrases.report(documents(spark, docs).coalesce(1))
+    assert sorted(tuple(r) for r in got.collect()) == expected(docs, 30, 2000)
