@@ -20,12 +20,14 @@ from .readout import LEAST_ENERGY, STATE, interfered
 NFA = [*STATE, "segment", "role", "place", "tokens", "shown"]
 
 
-def lanes_of(grammar: DataFrame, roles: DataFrame) -> DataFrame:
-    """(prompt_id, segment, role, tokens, shown, segments): the roles with words that each segment offers; ``segments`` is the
-    number of the prompt's segments, those without such a role included (nothing gets past them)."""
+def lanes_of(grammar: DataFrame, roles: DataFrame, last: int | None = None) -> DataFrame:
+    """(prompt_id, segment, role, tokens, shown, segments): the roles with words that each segment offers (up to the segment
+    ``last``, if given); ``segments`` is the number of the prompt's segments, those without such a role included (nothing gets
+    past them)."""
     count = grammar.groupBy("prompt_id").agg((F.max("segment") + 1).alias("segments"))
     spoken = roles.where(F.size("tokens") > 0).select("prompt_id", "role", "tokens", "shown")
-    return grammar.select("prompt_id", "segment", "role").distinct().join(spoken, ["prompt_id", "role"]).join(count, "prompt_id")
+    offered = grammar if last is None else grammar.where(F.col("segment") <= last)
+    return offered.select("prompt_id", "segment", "role").distinct().join(spoken, ["prompt_id", "role"]).join(count, "prompt_id")
 
 
 def _enter(at: DataFrame, lanes: DataFrame, counts: DataFrame) -> DataFrame:
@@ -86,8 +88,15 @@ def grammar_modes(frontier: DataFrame, gate: DataFrame) -> DataFrame:
 
 def role_distribution(prefixes: DataFrame, grammar: DataFrame, roles: DataFrame, evidence: DataFrame, field: DataFrame, wave: DataFrame, **gains: float) -> DataFrame:
     """G-2: (prompt_id, state, target, probability) of the next symbol after each prefix (prompt_id, state, spoken)."""
-    lanes = stored(lanes_of(grammar, roles), "lanes")
-    return interfered(grammar_modes(after(prefixes, lanes), gates(evidence, roles)), field, wave, **gains)
+    prefixes = stored(prefixes, "prefixes")
+    # a role has a word at least, so no prefix gets past as many segments as it has tokens
+    longest = prefixes.agg(F.max(F.size("spoken"))).first()[0] or 0
+    lanes, gate = stored(lanes_of(grammar, roles, longest), "lanes"), stored(gates(evidence, roles), "gates")
+    modes = stored(grammar_modes(after(prefixes, lanes), gate), "modes")
+    # of field and wave only what is awaited
+    heard = field.join(modes.select("prompt_id", F.col("target").alias("token")).distinct(), ["prompt_id", "token"], "left_semi")
+    own = wave.join(modes.select(F.col("target").alias("token")).distinct(), "token", "left_semi")
+    return interfered(modes, stored(heard, "heard"), stored(own, "own-wave"), **gains)
 
 
 def decode_roles(grammar: DataFrame, roles: DataFrame, evidence: DataFrame, field: DataFrame, wave: DataFrame, *, width: int = 4, steps: int = 64, **gains: float) -> DataFrame:
