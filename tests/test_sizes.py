@@ -40,3 +40,10 @@ def test_lanes_end_where_prefixes_do(spark):
     field = roles.select("prompt_id", F.col("role").alias("token"), F.lit(0.5).alias("amplitude"))
     got = A.role_distribution(prefixes, grammar, roles, grammar.where("segment = 0"), field, A.role_wave(roles))
     assert [tuple(r) for r in got.collect()] == [(1, 1, "d", 1.0)]
+
+
+def test_runs_of_three_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "Der Mond Ist. der mond ist! Der Mond IST"), (2, "der MOND ist"), (3, None)], "doc_id long, text string")
+    found = N.context_form(docs)
+    assert exchanges(found) == 1
+    assert ("der", "mond", "ist", "ist", 2) in [tuple(r) for r in found.select("a", "b", "token", "form", "n").collect()]
