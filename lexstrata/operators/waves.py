@@ -42,30 +42,84 @@ def byte_energy(text: pa.Array) -> pa.Array:
     return pa.array(energy, mask=whole.is_null().to_numpy(zero_copy_only=False))
 
 
+def _encoded(raw: bytes) -> np.ndarray:
+    """The orthonormal DCT-II of scaled bytes, by a Fourier transform of the same length."""
+    x = (np.frombuffer(raw or b"\0", np.uint8) - 127.5) / 127.5
+    n = len(x)
+    c = (np.fft.fft(np.concatenate([x[::2], x[1::2][::-1]])) * np.exp(-0.5j * np.pi / n * np.arange(n))).real * math.sqrt(2 / n)
+    c[0] *= math.sqrt(0.5)
+    return c
+
+
+def _bytes(c: np.ndarray) -> bytes | None:
+    """The bytes of a code: the inverse of :func:`_encoded`; None if a value is no byte."""
+    n = len(c)
+    c = c * math.sqrt(n / 2)
+    c[0] *= math.sqrt(2)
+    v = np.fft.ifft(np.exp(0.5j * np.pi / n * np.arange(n)) * (c - 1j * np.append(0.0, c[:0:-1]))).real
+    x = np.empty(n)
+    x[::2], x[1::2] = v[: (n + 1) // 2], v[(n + 1) // 2 :][::-1]
+    whole = np.rint(x * 127.5 + 127.5)
+    return whole.astype(np.uint8).tobytes() if np.all((whole >= 0) & (whole <= 255)) else None
+
+
+def _raw(text: pa.Array):
+    """The UTF-8 bytes of each text, or None."""
+    return (x.as_buffer().to_pybytes() if x.is_valid else None for x in text.cast(pa.large_binary()))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _codes(text: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else _encoded(r) for r in _raw(text)], pa.list_(pa.float64()))
+
+
+@F.arrow_udf(T.BinaryType())
+def _payloads(codes: pa.Array) -> pa.Array:
+    return pa.array([_bytes(c.values.to_numpy().astype(float)) if c.is_valid and len(c.values) else None for c in codes], pa.binary())
+
+
+@F.arrow_udf(T.DoubleType())
+def code_energy(text: pa.Array) -> pa.Array:
+    """:func:`physical_energy` of the text's code, which doesn't leave the task's text by text work."""
+    of = lambda c: 0.5 * float(np.sum((2 * math.pi * BASE_HZ / len(c) * np.arange(len(c)) * c) ** 2))
+    return pa.array([None if r is None else of(_encoded(r)) for r in _raw(text)], pa.float64())
+
+
+def turned_back(text: Column, seconds: float) -> Column:
+    """M1, M4: the bytes of each text after its code was turned by the phases of a time (q and p of each mode), recovered and
+    read; one text after another, as codes take many times the room of texts. Null where a value is no byte."""
+
+    def of(raw: bytes) -> bytes | None:
+        c = _encoded(raw)
+        k, n = np.arange(len(c)), len(c)
+        turn = k * (seconds * BASE_HZ / n % 1.0) % 1.0
+        cos, sin = np.cos(2 * np.pi * turn), np.sin(2 * np.pi * turn)
+        q, p = c * cos, c * sin
+        return _bytes(q * cos + p * sin)
+
+    @F.arrow_udf(T.BinaryType())
+    def trip(text: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else of(r) for r in _raw(text)], pa.binary())
+
+    return trip(text)
+
+
 def coefficients(docs: DataFrame) -> DataFrame:
     """M1: the orthonormal DCT-II of each text's bytes (column ``coefficients``)."""
-    from pyspark.ml.feature import DCT
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    return docs.withColumn("coefficients", _codes("text"))
+
 
-    vectors = docs.withColumn("_bytes", array_to_vector(byte_values(F.col("text"))))
-    return DCT(inputCol="_bytes", outputCol="_dct").transform(vectors).withColumn("coefficients", vector_to_array("_dct")).drop("_bytes", "_dct")
+def read(payload: DataFrame) -> DataFrame:
+    """M2: the text of each payload (columns payload, byte_length, sha256), and whether length and digest hold (columns ``decoded``,
+    ``valid``). What was never there, without digest, is valid as null."""
+    ok = F.octet_length("payload") == F.greatest("byte_length", F.lit(1))
+    out = payload.withColumn("decoded", F.when(F.col("byte_length") == 0, "").when(ok, F.decode("payload", "UTF-8"))).drop("payload")
+    return out.withColumn("valid", F.sha2(F.col("decoded"), 256).eqNullSafe(F.col("sha256")))
 
 
 def decoded(packets: DataFrame) -> DataFrame:
     """M1, M2: the text of each code, and whether length, range and digest hold (columns ``decoded``, ``valid``)."""
-    from pyspark.ml.feature import DCT
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    back = DCT(inverse=True, inputCol="_c", outputCol="_v").transform(packets.withColumn("_c", array_to_vector("coefficients")))
-    values = F.transform(vector_to_array("_v"), lambda x: F.round(x * 127.5 + 127.5).cast("int"))
-
-    def read(b: Column) -> Column:
-        raw = F.unhex(F.array_join(F.transform(b, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
-        ok = F.forall(b, lambda x: x.between(0, 255)) & (F.size(b) == F.greatest("byte_length", F.lit(1)))
-        return F.when(F.col("byte_length") == 0, "").when(ok, F.decode(raw, "UTF-8"))
-
-    out = back.withColumn("decoded", bound(values, read)).drop("_c", "_v")
-    return out.withColumn("valid", F.coalesce(F.sha2(F.col("decoded"), 256) == F.col("sha256"), F.lit(False)))
+    return read(packets.withColumn("payload", _payloads("coefficients")))
 
 
 def physical_energy(coefficient_array: Column) -> Column:

@@ -199,16 +199,15 @@ def coordinate_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def physical_energy(spark: SparkSession, folder: str) -> DataFrame:
     """Energies of the codes of all texts; a text that is null counts as empty."""
-    rows = W.coefficients(docs(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return rows.select("doc_id", F.round(W.physical_energy(F.col("coefficients")), 4).alias("physical"), F.round(W.byte_energy(F.col("text")), 6).alias("energy"))
+    rows = docs(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", F.round(W.code_energy("text"), 4).alias("physical"), F.round(W.byte_energy(F.col("text")), 6).alias("energy"))
 
 
 @query("SELECT doc_id, text AS decoded, true AS valid FROM documents")
 def codec_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Texts encoded, turned by a phase, recovered and decoded."""
-    rows = W.coefficients(docs(spark, folder).select("doc_id", "text"))
-    packets = rows.select("doc_id", W.recovered(W.quadratures(F.col("coefficients"), 1.25), 1.25).alias("coefficients"), F.octet_length("text").alias("byte_length"), F.sha2("text", 256).alias("sha256"))
-    return W.decoded(packets).select("doc_id", "decoded", "valid")
+    packets = docs(spark, folder).select("doc_id", W.turned_back(F.col("text"), 1.25).alias("payload"), F.octet_length("text").alias("byte_length"), F.sha2("text", 256).alias("sha256"))
+    return W.read(packets).select("doc_id", "decoded", "valid")
 
 
 @query()

@@ -35,3 +35,10 @@ def test_physical_energy_has_long_texts(spark, tmp_path):
     got = {r["doc_id"]: r for r in catalog.queries()["physical_energy"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3, 4} and abs(got[2]["energy"] - 900 * sum(((b - 127.5) / 127.5) ** 2 for b in b"long text ")) < 1e-3
     assert got[2]["physical"] is not None and got[3]["physical"] == got[4]["physical"]
+
+
+def test_codes_of_any_length_return_and_no_text_stays_none(spark, tmp_path):
+    texts = [None, "", "ä", "ab", "Straße 東京", "x" * 4097, "lange Zeile 9\n" * 3001]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalog.queries()["codec_round_trip"](spark, str(tmp_path)).collect()}
+    assert [got[i]["decoded"] for i in range(len(texts))] == texts and all(r["valid"] for r in got.values())
