@@ -67,7 +67,8 @@ class DocumentStore:
             raise RevisionConflict("an id comes with other content")
         first = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known.select("digest"), "digest", "left_anti")
         last = known.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
-        fresh = keyed.dropDuplicates(["id"]).join(first, ["id", "digest"], "left_semi")
+        # an id has one content, so the id alone tells its digest: texts are dealt by id once
+        fresh = keyed.dropDuplicates(["id"]).join(first, "id", "left_semi")
         numbered = fresh.select("id", "text", "source", (F.monotonically_increasing_id() + 1 + last).alias("sequence"), F.lit(base.revision + 1).cast("long").alias("added_revision"), "digest")
         part = self.log.write(numbered, "documents")
         added = self.spark.read.parquet(self.log.path(part)).count()
