@@ -48,8 +48,7 @@ u AS (SELECT conv_id, token, amplitude / sqrt(sum(amplitude * amplitude) OVER (P
 SELECT conv_id, token, round(amplitude, 9) AS amplitude, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(amplitude, 12) DESC, token) AS rank FROM u WHERE amplitude > 1e-8) WHERE rank <= 256""")
 def context_modes(spark: SparkSession, folder: str) -> DataFrame:
     """G-4, K7: the context that a conversation keeps of what was asked and answered."""
-    part = lambda role: P.prompt_field(table(spark, folder, "conversations").where(F.col("role") == role), "conv_id")
-    kept = P.strongest(P.summed(part("user"), part("assistant"), by=["conv_id"]), "conv_id")
+    kept = P.strongest(P.context(table(spark, folder, "conversations"), "conv_id", "role", ("user", "assistant")), "conv_id")
     return kept.select("conv_id", "token", F.round("amplitude", 9).alias("amplitude"), F.col("rank").cast("long").alias("rank"))
 
 
