@@ -20,8 +20,8 @@ DIMENSIONS = 4096
 
 
 def postings(docs: DataFrame, *, stopwords: list[str] | None = None) -> DataFrame:
-    """A4: (doc_id, term, tf) of all folded words."""
-    terms = docs.select("doc_id", F.explode(X.search_tokens(F.col("text"), stopwords=stopwords)).alias("term"))
+    """A4: (doc_id, term, tf) of all folded words. Texts are dealt by id once; whatever goes by document finds its rows in place."""
+    terms = docs.repartition("doc_id").select("doc_id", F.explode(X.search_tokens(F.col("text"), stopwords=stopwords)).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -94,10 +94,11 @@ def blake_slot(person: bytes = b"", dimensions: int = DIMENSIONS):
 
 def hashed_vectors(docs: DataFrame, person: bytes = b"") -> DataFrame:
     """Sparse unit vectors (doc_id, bucket, weight): signed 1 + ln tf, summed by bucket."""
-    slots = postings(docs).select("doc_id", "tf", blake_slot(person)("term").alias("slot"))
+    # rows that come from Python are dealt again, once: sums by bucket and norms find them in place
+    slots = postings(docs).select("doc_id", "tf", blake_slot(person)("term").alias("slot")).repartition("doc_id")
     summed = slots.groupBy("doc_id", F.col("slot.bucket").alias("bucket")).agg(F.sum(F.col("slot.sign") * (1 + F.log("tf"))).alias("w")).where("w <> 0")
-    norms = summed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norms, "doc_id").select("doc_id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return summed.select("doc_id", "bucket", (F.col("w") / norm).alias("weight"))
 
 
 def interference_topk(docs: DataFrame, prompt: str, *, k: int = 10, least: float = 0.18) -> DataFrame:
