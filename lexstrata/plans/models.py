@@ -26,7 +26,7 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT depth, prefix, target, n, round(n / sum(n) OVER (PARTITION BY depth, prefix), 9) AS p FROM ({COUNTS})")
 def ngram_transitions(spark: SparkSession, folder: str) -> DataFrame:
     """A6, A7, W1, C-4."""
-    return N.probabilities(N.transitions(docs(spark, folder))).select(F.col("depth").cast("long").alias("depth"), "prefix", "target", "n", F.round("p", 9).alias("p"))
+    return N.probabilities(N.transitions(docs(spark, folder)), ordered=True).select(F.col("depth").cast("long").alias("depth"), "prefix", "target", "n", F.round("p", 9).alias("p"))
 
 
 @query(f"SELECT depth, prefix, target, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY depth, prefix ORDER BY n DESC, target) AS rank FROM ({COUNTS})) WHERE rank <= 3")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexstrata import catalog
 from lexstrata.functions import text as X
 from lexstrata.operators import fields as P
+from lexstrata.operators import ngrams as N
 from lexstrata.operators import retrieval as R
 from lexstrata.operators import scoring as S
 
@@ -69,3 +70,12 @@ def test_appends_deal_rows_once(spark, tmp_path):
     batch = spark.createDataFrame([("a", "x", "s"), ("a", "x", "s"), ("b", "x", "s"), ("c", "y", "s")], "id string, text string, source string")
     assert held.append(batch) == {"revision": 1, "added": 2, "existing": 2}
     assert held.append(batch) == {"revision": 1, "added": 0, "existing": 4}
+
+
+def test_prefixes_are_sorted_by_hash(spark):
+    counts = spark.createDataFrame([(0, "", "a", 3), (1, "a", "b", 1), (1, "a", "c", 3), (2, "a b", "c", 1), (3, "a b c", "d", 2)], "depth int, prefix string, target string, n long")
+    top = N.top_transitions(N.probabilities(counts), 1)
+    assert steps(top, r"Sort \[_w0#\d+L ASC") == steps(top, r"Sort \[") > 0
+    rows = sorted((r["prefix"], r["target"], r["p"]) for r in top.collect())
+    assert rows == [("", "a", 1.0), ("a", "c", 0.75), ("a b", "c", 1.0), ("a b c", "d", 1.0)]
+    assert rows == sorted((r["prefix"], r["target"], r["p"]) for r in N.top_transitions(N.probabilities(counts, ordered=True), 1).collect())
