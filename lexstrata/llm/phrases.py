@@ -40,6 +40,10 @@ MOST = 2000
 COVER = 80
 FILTER_BITS = 27
 SHARD_BYTES = 4 << 20
+#: Phrases whose texts are put together at once: their places take some hundred bytes a phrase.
+ROWS = 1 << 15
+#: Words that are hashed at once.
+HASHED = 1 << 16
 UNKNOWN = "und"
 
 _BREAK = np.zeros(256, bool)
@@ -58,8 +62,12 @@ class Words:
         of_language = {x: bt.text_hash(x) for x in set(languages)}
         # mixed once more than words are: a sum of like hashes would take `es` in `en` for `en` in `es`
         salt = np.array([of_language[x] for x in languages], np.uint64)
-        self.keys = bt.mix(low.hashes(self.starts, self.ends) + bt.mix(salt + np.uint64(1))[self.row])
-        breaks = np.cumsum(_BREAK[self.buf])
+        self.keys = bt.mix(salt + np.uint64(1))[self.row]
+        for at in range(0, len(self.keys), HASHED):  # a hash takes some eight times the bytes of its text, so not all at once
+            starts, ends = self.starts[at : at + HASHED], self.ends[at : at + HASHED]
+            self.keys[at : at + HASHED] += bt.Chunk(0, self.buf[starts[0] : ends[-1]], low.offsets).hashes(starts - starts[0], ends - starts[0])
+        self.keys = bt.mix(self.keys)
+        breaks = np.cumsum(_BREAK[self.buf], dtype=np.int32 if len(self.buf) < 1 << 31 else np.int64)
         self.follows = np.zeros(len(self.starts), bool)
         if len(self.starts) > 1:
             self.follows[:-1] = (self.row[1:] == self.row[:-1]) & (breaks[self.starts[1:]] == breaks[self.starts[:-1]])
@@ -88,10 +96,13 @@ def intervals(words: Words, follows: np.ndarray, lengths: range) -> Iterator[tup
     _, ids = np.unique(words.keys[at], return_inverse=True)
     line, source = np.arange(n) + ids.max() + 1, np.full(n, -1)
     line[into], source[into] = ids, at
+    del used, closed, into, ids, at
     s = Suffixes(line, lengths[-1])
+    del line
     ends = np.flatnonzero(source < 0)
     reach = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
     shared = s.common(s.array[:-1], s.array[1:])
+    s.levels.clear()
     for m in lengths:
         first = np.flatnonzero(np.append(True, shared < m))
         count, place = np.diff(np.append(first, n)), s.array[first]
@@ -125,9 +136,11 @@ def _counts(texts: DataFrame, lengths: range, known: Broadcast, pairs: Broadcast
     """(lang, words, phrase, n) of every n-gram of the given lengths; a null phrase counts all words. Words outside ``known``
     and neighbours outside ``pairs`` part a piece."""
 
-    def rows(of_rows: list[str], words: Words, m: int, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        languages = pa.array(of_rows, pa.string()).take(pa.array(words.row[first]))
-        return pa.RecordBatch.from_arrays([languages, pa.array(np.full(len(first), m, np.int32)), words.phrases(first, m), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
+    def rows(of_rows: list[str], words: Words, m: int, firsts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        named = pa.array(of_rows, pa.string())
+        for at in range(0, len(firsts), ROWS):
+            first, n = firsts[at : at + ROWS], counts[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays([named.take(pa.array(words.row[first])), pa.array(np.full(len(first), m, np.int32)), words.phrases(first, m), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, of_rows in _shards(batches):
@@ -135,7 +148,7 @@ def _counts(texts: DataFrame, lengths: range, known: Broadcast, pairs: Broadcast
                 continue
             if lengths[0] == 1:
                 _, first, n = np.unique(words.keys, return_index=True, return_counts=True)
-                yield rows(of_rows, words, 1, first, n)
+                yield from rows(of_rows, words, 1, first, n)
                 names, of_row = np.unique(of_rows, return_inverse=True)
                 all_words = np.bincount(of_row[words.row], minlength=len(names))
                 yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.nulls(len(names), pa.string()), pa.array(all_words)], names=["lang", "words", "phrase", "n"])
@@ -145,7 +158,7 @@ def _counts(texts: DataFrame, lengths: range, known: Broadcast, pairs: Broadcast
             if pairs:
                 follows[:-1] &= marked(pairs.value, joint_key(words.keys[:-1], words.keys[1:], 2))
             for m, first, n in intervals(words, follows, lengths):
-                yield rows(of_rows, words, m, first, n)
+                yield from rows(of_rows, words, m, first, n)
 
     return texts.mapInArrow(thin(work), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from lexstrata.llm import phrases
 from lexstrata.llm.registry import oracle_sql, queries
@@ -85,3 +88,32 @@ def test_words_that_are_named_like_languages(spark):
     docs = [(i, "es de x", "en") for i in range(30)] + [(100 + i, "en de x", "es") for i in range(40)] + [(200 + i, "es en x", "de") for i in range(50)]
     got = phrases.report(documents(spark, docs).coalesce(1))
     assert sorted(tuple(r) for r in got.collect()) == expected(docs, 30, 2000)
+
+
+def test_a_shard_takes_bounded_memory(spark):
+    """Workers of two tasks and the JVM share an executor: the texts of a shard's phrases aren't put together at once."""
+
+    class Held:
+        def __init__(self, value=None):
+            self.value = value
+
+        def mapInArrow(self, work, schema):
+            self.work = work
+            return self
+
+        def groupBy(self, *names):
+            return self
+
+        agg = groupBy
+
+    rng = random.Random(3)
+    words = [f"word{i:05d}" for i in range(50_000)]
+    lines = [" ".join(rng.choices(words, k=1000)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines), pa.array(["en"] * len(lines))], names=["text", "lang"])
+    all_, held = Held(np.full(1 << 12, 255, np.uint8)), Held()
+    phrases._counts(held, range(3, 5), all_, all_)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in held.work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 390_000 and peak < 150 << 20
