@@ -79,3 +79,15 @@ def test_prefixes_are_sorted_by_hash(spark):
     rows = sorted((r["prefix"], r["target"], r["p"]) for r in top.collect())
     assert rows == [("", "a", 1.0), ("a", "c", 0.75), ("a b", "c", 1.0), ("a b c", "d", 1.0)]
     assert rows == sorted((r["prefix"], r["target"], r["p"]) for r in N.top_transitions(N.probabilities(counts, ordered=True), 1).collect())
+
+
+def test_sampling_looks_prefixes_up_or_reads_all(spark, monkeypatch):
+    from lexstrata.operators import ngrams
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat_ws(' ', 'a', id % 3, 'b', id % 5, 'c', id % 7) AS text")
+    prompts = spark.range(6).selectExpr("id AS prompt_id", "'' AS text")
+    before, found = spark.conf.get(ngrams.IN_KEY), []
+    for few in (0, 512):
+        monkeypatch.setattr(ngrams, "FEW", few)
+        found.append(sorted(map(tuple, ngrams.sample_decode(prompts, ngrams.transitions(docs), seed=7, steps=3).collect())))
+    assert found[0] == found[1] and len(found[0]) == 6 and spark.conf.get(ngrams.IN_KEY) == before
