@@ -9,6 +9,12 @@ evidence has no words says nothing.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +24,9 @@ from .ngrams import EOS
 from .readout import LEAST_ENERGY, STATE, interfered
 
 NFA = [*STATE, "segment", "role", "place", "tokens", "shown"]
+NAMES = [*STATE, "target", "amplitude", "p"]
+#: Rows of a batch; tokens with energies that a task holds before it sums them.
+ROWS, HELD = 1 << 14, 1 << 21
 
 
 def lanes_of(grammar: DataFrame, roles: DataFrame, last: int | None = None) -> DataFrame:
@@ -140,13 +149,125 @@ def decode_roles(grammar: DataFrame, roles: DataFrame, evidence: DataFrame, fiel
     return beams.withColumn("rank", F.row_number().over(final)).where("rank = 1 AND size(tokens) > 0").select("prompt_id", "tokens", "shown", "score", "ended")
 
 
-def role_wave(roles: DataFrame) -> DataFrame:
-    """(token, amplitude): the unit wave of all declared roles, each of which spreads one unit over its tokens."""
-    spread = roles.where(F.size("tokens") > 0).select(F.explode("tokens").alias("token"), (1 / F.size("tokens")).alias("share")).groupBy("token").agg(F.sum("share").alias("energy"))
+def role_spread(roles: DataFrame) -> DataFrame:
+    """(token, energy): each role with words spreads one unit over its tokens."""
+    return roles.where(F.size("tokens") > 0).select(F.explode("tokens").alias("token"), (1 / F.size("tokens")).alias("share")).groupBy("token").agg(F.sum("share").alias("energy"))
+
+
+def spread_wave(spread: DataFrame) -> DataFrame:
+    """(token, amplitude): energies (token, energy) as a unit wave (A10)."""
     norm = spread.agg(F.sqrt(F.sum(F.col("energy") * F.col("energy"))).alias("norm")).where("norm > 0")
     return spread.join(F.broadcast(norm)).select("token", (F.col("energy") / F.col("norm")).alias("amplitude"))
 
 
+def role_wave(roles: DataFrame) -> DataFrame:
+    """(token, amplitude): the unit wave of all declared roles, each of which spreads one unit over its tokens."""
+    return spread_wave(role_spread(roles))
+
+
+def _awaited(lanes: list[list[int]], segments: int, size: list[int], word: Callable[[int, int], str], spoken: list[str]) -> dict[str, float]:
+    """What the states of one grammar await after ``spoken``, by token: the sum of what its roles spend on it."""
+
+    def enter(segment: int) -> set:
+        return {(segment, -1, 0)} if segment >= segments else {(segment, r, 0) for r in lanes[segment] if size[r]} if segment < len(lanes) else set()
+
+    frontier = enter(0)
+    for token in spoken:
+        moved = {(s, r, k + 1) for s, r, k in frontier if r >= 0 and word(r, k) == token}
+        frontier = {x for x in moved if x[2] < size[x[1]]}
+        for segment in {s + 1 for s, r, k in moved if k >= size[r]}:
+            frontier |= enter(segment)
+    out: dict[str, float] = {}
+    for _, r, k in sorted(frontier):
+        target, value = (EOS, 1.0) if r < 0 else (word(r, k), 1 / math.sqrt(size[r]))
+        out[target] = out.get(target, 0.0) + value
+    return out
+
+
+def own_grammars(docs: DataFrame, *, lengths: tuple[int, ...]) -> DataFrame:
+    """G-2 for grammars that a row holds whole: rows (prompt_id, segments, lanes, tokens, words), where ``tokens`` are the words of each
+    of the prompt's roles, ``lanes`` the places there of the roles of its first segments, more than the longest of
+    ``lengths``, in order of role, and ``words`` those of its field. No row is dealt or joined.
+
+    (prompt_id, state, target, amplitude, p): the modes after the first ``state`` words of its first role, as :func:`grammar_modes`
+    has them, with the field's amplitude of the target; the roles of the first segment are the evidence. Rows without a state hold
+    in ``amplitude`` the energies of tokens that the roles spread (A9), to be summed."""
+
+    def modes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, float]]:
+        roles, segments, lanes = batch["tokens"], batch["segments"].to_pylist(), batch["lanes"].to_pylist()
+        row, inner = roles.offsets.to_numpy(), roles.values
+        at, flat = inner.offsets.to_numpy(), inner.values
+        for i, own in enumerate(lanes):
+            if not own or not own[0]:
+                continue
+            starts, words = at[row[i] : row[i + 1] + 1].tolist(), {}
+            size = {r: starts[r + 1] - starts[r] for lane in own for r in lane}
+
+            def word(r: int, k: int, starts=starts, size=size, words=words) -> str:
+                if r not in words:
+                    words[r] = flat.slice(starts[r], min(size[r], max(lengths) + 1)).to_pylist()
+                return words[r][k]
+
+            gate = sum(size[r] > 0 for r in own[0]) / len(own[0])
+            if gate <= LEAST_ENERGY:
+                continue
+            for state in lengths:
+                first = own[0][0]
+                summed = _awaited(own, segments[i], size, word, [word(first, k) for k in range(min(state, size[first]))])
+                energy = sum(v * v for v in summed.values())
+                for target, value in summed.items():
+                    yield i, state, target, value * math.sqrt(gate / energy)
+
+    def heard(words: pa.Array, rows: np.ndarray, targets: pa.Array) -> np.ndarray:
+        """The unit amplitude of each of ``targets`` among the words of its row."""
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        keys, n = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+        norm = np.sqrt(np.bincount(keys // width, (n * n).astype(float), len(words)))
+        code = pc.fill_null(pc.index_in(targets, coded.dictionary), -1).to_numpy()
+        wanted = rows * width + code
+        place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        known = (code >= 0) & (keys[place] == wanted) if len(keys) else np.zeros(len(rows), bool)
+        out = np.zeros(len(rows))
+        out[known] = n[place[known]] / norm[rows[known]]
+        return out
+
+    def spread(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.chunked_array([p[0] for p in parts]).combine_chunks().dictionary_encode()
+        return coded.dictionary, np.bincount(coded.indices.to_numpy(), np.concatenate([p[1] for p in parts]), len(coded.dictionary))
+
+    def told(parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens, energy = spread(parts)
+        for i in range(0, len(tokens), ROWS):
+            some = tokens.slice(i, ROWS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), some, pa.array(energy[i : i + ROWS]), pa.nulls(len(some), pa.float64())], names=NAMES)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            inner = batch["tokens"].flatten()
+            size = pc.list_value_length(inner).to_numpy()
+            if len(flat := inner.flatten()):
+                parts.append(spread([(flat, np.repeat(1 / np.maximum(size, 1), size))]))
+                held += len(parts[-1][0])
+            if held > HELD:
+                parts = [spread(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield from told(parts)
+                    parts, held = [], 0
+            if found := list(modes(batch)):
+                i, state, target, amplitude = zip(*found, strict=True)
+                rows, targets = np.array(i), pa.array(target, pa.string())
+                out = pa.RecordBatch.from_arrays([batch["prompt_id"].take(pa.array(rows)), pa.array(state, pa.int64()), targets, pa.array(amplitude), pa.array(heard(batch["words"], rows, targets))], names=NAMES)
+                yield from (out.slice(k, ROWS) for k in range(0, len(out), ROWS))
+        if parts:
+            yield from told(parts)
+
+    return docs.select("prompt_id", "segments", "lanes", "tokens", "words").mapInArrow(work, "prompt_id long, state long, target string, amplitude double, p double")
+
+
 def encoded(roles: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Roles (prompt_id, role, words, origin) as (prompt_id, role, tokens, shown, origin): words of the vocabulary (column token)
     are one symbol each; of others every UTF-8 byte is one, and between two such words stands the byte of a blank."""
